@@ -1,0 +1,3 @@
+"""DuckDB SQL of the registered queries."""
+
+ORACLES = {"doc_keyset_after": "SELECT event_id AS sk, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events WHERE event_type = 'error' AND event_id > 100 ORDER BY sk"}

@@ -1,0 +1,17 @@
+"""Registered queries of the library proper, over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_keyset_after(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.filter((F.col("event_type") == "error") & (F.col("event_id") > 100)).select(F.col("event_id").alias("sk"), F.get_json_object("props", "$.k").cast("bigint").alias("k")).orderBy("sk")
+
+
+QUERIES = {"doc_keyset_after": doc_keyset_after}
