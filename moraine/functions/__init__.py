@@ -1 +1 @@
-
+"""Scalar functions as Column expressions; Python only where Spark has no expression (``codecs``)."""

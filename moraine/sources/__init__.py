@@ -1 +1 @@
-
+"""Sources and sinks beside Spark's own."""
