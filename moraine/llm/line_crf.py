@@ -29,8 +29,9 @@ THRESHOLD = 0.3
 STEPS = 150
 RATE = 0.1
 PENALTY = 1e-4
-#: Bytes of text whose arrays a task holds at once; a longer text is taken alone.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text whose lines a task labels at once, and whose character arrays (some 100 bytes a byte) it holds at once; a longer text is taken alone.
+CHUNK_BYTES = 2_000_000
+ARRAY_BYTES = 500_000
 
 # Character classes of UTF-8 bytes: fixed by their ranges.
 _B = np.arange(256)
@@ -113,7 +114,12 @@ def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, byte lengths of lines, lines of each text)."""
+    """(features of all lines, byte lengths of lines, lines of each text), made ARRAY_BYTES of text at a time."""
+    parts = [_encode(texts[a:b]) for a, b in groups(texts, ARRAY_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts, ends, n = lines_of(texts)
     bounds = np.cumsum(n)
     first, last = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
