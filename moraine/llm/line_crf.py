@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_hash, texts_of
+
 FOLDS = 5
 #: Documents learned from at most, and bytes of text that come to the driver at most (from the smallest hashes on).
 SAMPLE = 2000
@@ -270,17 +272,13 @@ def groups(texts: list[bytes], most: int = CHUNK_BYTES):
 
 
 def score(docs: DataFrame, model: Crf) -> DataFrame:
-    """All columns of ``docs`` as struct ``row``, doc_id, and ``score``."""
-    from .common import texts_of
-
+    """(doc_id, text_hash, score) of every row."""
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
             s = np.concatenate([model.scores(texts[a:b]) for a, b in groups(texts)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(s, pa.float64())], ["doc_id", "text_hash", "score"])
 
-    from .common import text_hash
-
     return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, score double")
 
 
@@ -288,8 +286,6 @@ def line_labels(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, line, n_bytes, p_good, good): every line of every text."""
 
     def run(batches):
-        from .common import texts_of
-
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id")
             for a, b in groups(texts):
@@ -312,14 +308,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row's texts go through the workers once and come back with it, so
     nothing is shuffled.
     """
-    from .common import texts_of
-
     model = train(docs, labels)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any names, dots included, pass through
+    text = names[docs.columns.index("text")]
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch)
+            texts = texts_of(batch, text)
             s = np.concatenate([model.scores(texts[a:b]) for a, b in groups(texts)] or [np.empty(0)])
             yield batch.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    safe = docs.toDF(*names)
+    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)
