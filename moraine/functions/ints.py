@@ -1,8 +1,8 @@
 """Fixed-width integer arithmetic on signed values held in wider columns.
 
-``bits`` is 8, 16, 32 or 64.  Values are computed as decimal(38,0), in which no
-64-bit sum or signed product overflows, and wrapped back; ANSI mode would
-otherwise raise where these wrap.
+``bits`` is 8, 16, 32 or 64.  Values are computed as bigint (64 bits: as
+decimal(38,0)), in which no sum or signed product overflows, and wrapped back;
+ANSI mode would otherwise raise where these wrap.
 """
 
 from __future__ import annotations
@@ -13,55 +13,60 @@ from pyspark.sql import functions as F
 DEC = "decimal(38,0)"
 
 
-def wide(x: Column) -> Column:
-    return x.cast(DEC)
+def _kind(bits: int) -> str:
+    """What holds sums and signed products: bigint up to 32 bits, as it stays in generated code."""
+    return "bigint" if bits <= 32 else DEC
 
 
-def _two(n: int) -> Column:
-    return F.lit(str(1 << n)).cast(DEC)
+def wide(x: Column, bits: int) -> Column:
+    return x.cast(_kind(bits))
+
+
+def _two(n: int, bits: int) -> Column:
+    return F.lit(1 << n).cast("bigint") if bits <= 32 else F.lit(str(1 << n)).cast(DEC)
 
 
 def unsigned(x: Column, bits: int) -> Column:
     """The same bits read as an unsigned number."""
-    d = wide(x)
-    return F.when(d < 0, d + _two(bits)).otherwise(d).cast(DEC)
+    d = wide(x, bits)
+    return F.when(d < 0, d + _two(bits, bits)).otherwise(d).cast(_kind(bits))
 
 
 def wrap(x: Column, bits: int) -> Column:
     """Any number reduced to ``bits`` bits, two's complement."""
-    half = _two(bits - 1)
-    return (F.pmod(wide(x) + half, _two(bits)) - half).cast("bigint")
+    half = _two(bits - 1, bits)
+    return (F.pmod(wide(x, bits) + half, _two(bits, bits)) - half).cast("bigint")
 
 
 def iadd(a, b, bits):
-    return wrap(wide(a) + wide(b), bits)
+    return wrap(wide(a, bits) + wide(b, bits), bits)
 
 
 def isub(a, b, bits):
-    return wrap(wide(a) - wide(b), bits)
+    return wrap(wide(a, bits) - wide(b, bits), bits)
 
 
 def imul(a, b, bits):
     """Widths up to 32, and 64 where the product has under 38 digits."""
-    return wrap(wide(a) * wide(b), bits)
+    return wrap(wide(a, bits) * wide(b, bits), bits)
 
 
 def ineg(a, bits):
-    return wrap(-wide(a), bits)
+    return wrap(-wide(a, bits), bits)
 
 
 def iabs(a, bits):
-    return wrap(F.abs(wide(a)), bits)
+    return wrap(F.abs(wide(a, bits)), bits)
 
 
-def _quotient(a: Column, b: Column) -> Column:
-    """Toward zero, exact."""
-    return ((a - a % b) / b).cast(DEC)
+def _quotient(a: Column, b: Column, bits: int) -> Column:
+    """Toward zero, exact: what is divided is a multiple."""
+    return ((a - a % b) / b).cast(_kind(bits))
 
 
 def udiv(a, b, bits):
     """Null (where the original traps) if b is 0."""
-    return F.when(b != 0, wrap(_quotient(unsigned(a, bits), unsigned(b, bits)), bits))
+    return F.when(b != 0, wrap(_quotient(unsigned(a, bits), unsigned(b, bits), bits), bits))
 
 
 def urem(a, b, bits):
@@ -70,12 +75,12 @@ def urem(a, b, bits):
 
 def sdiv(a, b, bits):
     """Null if b is 0 or the quotient doesn't fit."""
-    q = _quotient(wide(a), wide(b))
-    return F.when((b != 0) & (q < _two(bits - 1)), q.cast("bigint"))
+    q = _quotient(wide(a, bits), wide(b, bits), bits)
+    return F.when((b != 0) & (q < _two(bits - 1, bits)), q.cast("bigint"))
 
 
 def srem(a, b, bits):
-    return F.when(b != 0, (wide(a) % wide(b)).cast("bigint"))
+    return F.when(b != 0, (wide(a, bits) % wide(b, bits)).cast("bigint"))
 
 
 def band_not(a, b):
@@ -180,49 +185,50 @@ def umax(a, b, bits):
 
 
 def smulhi(a, b, bits):
-    p = wide(a) * wide(b)
-    return ((p - F.pmod(p, _two(bits))) / _two(bits)).cast("bigint")
+    p = wide(a, bits) * wide(b, bits)
+    return ((p - F.pmod(p, _two(bits, bits))) / _two(bits, bits)).cast("bigint")
 
 
 def umulhi(a, b, bits):
     """Widths up to 32: a 64-bit unsigned product can have 39 digits."""
-    p = unsigned(a, bits) * unsigned(b, bits)
-    return wrap(((p - F.pmod(p, _two(bits))) / _two(bits)).cast(DEC), bits)
+    more = 2 * bits if bits < 32 else 64
+    p = unsigned(a, bits).cast(_kind(more)) * unsigned(b, bits).cast(_kind(more))
+    return wrap(((p - F.pmod(p, _two(bits, more))) / _two(bits, more)).cast(_kind(more)), bits)
 
 
 def uadd_sat(a, b, bits):
-    return wrap(F.least(unsigned(a, bits) + unsigned(b, bits), _two(bits) - 1), bits)
+    return wrap(F.least(unsigned(a, bits) + unsigned(b, bits), _two(bits, bits) - 1), bits)
 
 
 def usub_sat(a, b, bits):
-    return wrap(F.greatest(unsigned(a, bits) - unsigned(b, bits), F.lit(0).cast(DEC)), bits)
+    return wrap(F.greatest(unsigned(a, bits) - unsigned(b, bits), F.lit(0).cast(_kind(bits))), bits)
 
 
 def _clamp(x: Column, bits: int) -> Column:
-    return F.greatest(-_two(bits - 1), F.least(x, _two(bits - 1) - 1)).cast("bigint")
+    return F.greatest(-_two(bits - 1, bits), F.least(x, _two(bits - 1, bits) - 1)).cast("bigint")
 
 
 def sadd_sat(a, b, bits):
-    return _clamp(wide(a) + wide(b), bits)
+    return _clamp(wide(a, bits) + wide(b, bits), bits)
 
 
 def ssub_sat(a, b, bits):
-    return _clamp(wide(a) - wide(b), bits)
+    return _clamp(wide(a, bits) - wide(b, bits), bits)
 
 
 def avg_round(a, b, bits):
     s = unsigned(a, bits) + unsigned(b, bits) + 1
-    return wrap(_quotient(s, F.lit(2).cast(DEC)), bits)
+    return wrap(_quotient(s, F.lit(2).cast(_kind(bits)), bits), bits)
 
 
 def uadd_overflow(a, b, bits):
     s = unsigned(a, bits) + unsigned(b, bits)
-    return F.struct(wrap(s, bits).alias("value"), (s >= _two(bits)).alias("overflow"))
+    return F.struct(wrap(s, bits).alias("value"), (s >= _two(bits, bits)).alias("overflow"))
 
 
 def smul_overflow(a, b, bits):
-    p = wide(a) * wide(b)
-    return F.struct(wrap(p, bits).alias("value"), ((p >= _two(bits - 1)) | (p < -_two(bits - 1))).alias("overflow"))
+    p = wide(a, bits) * wide(b, bits)
+    return F.struct(wrap(p, bits).alias("value"), ((p >= _two(bits - 1, bits)) | (p < -_two(bits - 1, bits))).alias("overflow"))
 
 
 def uextend(x, bits):
