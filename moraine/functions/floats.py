@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ints import unsigned
 
 NAN, INF = float("nan"), float("inf")
 
@@ -73,6 +77,27 @@ def fma(a, b, c):
     return a * b + c
 
 
+def from_uint(x: Column, bits: int) -> Column:
+    """The bits read as an unsigned number."""
+    return unsigned(x, bits).cast("double")
+
+
+def bitcast(x: Column, to: str) -> Column:
+    """The same bits as another type of that width: bigint and double, int and float."""
+    f, was, zero = _BITCASTS[to]
+    out = f(F.coalesce(x.cast(was), F.lit(zero).cast(was)))
+    # pandas gives NaN back as null
+    return F.when(x.isNotNull(), F.coalesce(out, F.lit(NAN).cast(to)) if to in ("double", "float") else out)
+
+
+def _viewed(to: str):
+    # types, not their names: workers import this without a session
+    return F.pandas_udf(lambda s: pd.Series(s.to_numpy().view(to)), {"int64": T.LongType(), "int32": T.IntegerType(), "float64": T.DoubleType(), "float32": T.FloatType()}[to])
+
+
+_BITCASTS = {"bigint": (_viewed("int64"), "double", 0.0), "int": (_viewed("int32"), "float", 0.0), "double": (_viewed("float64"), "bigint", 0), "float": (_viewed("float32"), "int", 0)}
+
+
 def fpromote(x):
     return x.cast("float").cast("double")
 

@@ -167,3 +167,29 @@ def free_text(cols: list[Column], q: str) -> Column:
 def date_utc(y, month_index, d, h, mi, s) -> Column:
     """Milliseconds; months count from 0."""
     return F.unix_millis(F.make_timestamp(y, month_index + 1, d, h, mi, s, F.lit("UTC")))
+
+
+def external_tag(tag: Column, payload: Column | None = None) -> Column:
+    """Externally tagged JSON: a unit variant is its name, others are {name: payload}; payload is JSON text."""
+    return json_string(tag) if payload is None else F.concat(F.lit("{"), json_string(tag), F.lit(":"), payload, F.lit("}"))
+
+
+def from_entries(entries: Column) -> Column:
+    """A map of an array of structs (k, v); the last of a key's entries wins."""
+    later = lambda i: F.slice(entries, i + 2, F.size(entries))
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["k"] == e["k"])))
+
+
+def locale_compare(a: Column, b: Column, collation: str = "UNICODE") -> Column:
+    """-1, 0 or 1 in the collation's order."""
+    x, y = F.collate(a, collation), F.collate(b, collation)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def is_well_formed(b: Column) -> Column:
+    return F.is_valid_utf8(b)
+
+
+def to_well_formed(b: Column) -> Column:
+    """Bytes that aren't UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(b)

@@ -80,6 +80,11 @@ def list_request(df: DataFrame, request: str, key: str, limit: int = 100, token=
     return page(found, key, limit, token, SORT_KEYS.get(sort_by, sort_by), order) if pages else found
 
 
+def structured(df: DataFrame, text: str) -> DataFrame:
+    """Rows that a SQL predicate over the columns selects."""
+    return df.filter(F.expr(text))
+
+
 def highlights(cols: dict[str, Column], q: str) -> Column:
     """map field -> fragments that match q in any case, of fields that have some."""
     every = F.create_map(*[x for name, c in cols.items() for x in (F.lit(name), F.regexp_extract_all(c, F.lit(f"(?i){_quoted(q)}"), F.lit(0)))])

@@ -107,3 +107,44 @@ def nth_key(base: DataFrame, n: int) -> DataFrame:
 def cache_match(cache: DataFrame, requests: DataFrame) -> DataFrame:
     """Exact URL; null where nothing is cached."""
     return requests.join(cache.withColumnRenamed("value", "response"), "url", "left")
+
+
+def compare_and_set(base: DataFrame, swaps: DataFrame) -> DataFrame:
+    """(key, value, old, swapped) of the whole store after swaps (key, expected, value), a row for each key.
+
+    A null ``expected`` is met by an absent key.  ``swapped`` is null where
+    nothing was asked.  For a single writer.
+    """
+    s = swaps.select("key", "expected", F.col("value").alias("new"), F.lit(True).alias("asked"))
+    j = base.select("key", F.col("value").alias("old")).join(s, "key", "full_outer")
+    swapped = F.when(F.col("asked"), F.col("old").eqNullSafe(F.col("expected")))
+    j = j.withColumn("swapped", swapped).filter(F.col("old").isNotNull() | F.col("swapped"))
+    return j.select("key", F.when(F.col("swapped"), F.col("new")).otherwise(F.col("old")).alias("value"), "old", "swapped")
+
+
+def read_through(wanted: DataFrame, cached: DataFrame, storage: DataFrame, convert) -> DataFrame:
+    """(key, value, hit, error) of wanted keys: from ``cached`` (key, value), else ``storage`` (key, raw) converted.
+
+    ``error`` is NotFound, Convert (``convert`` gives null) or null.  Rows that
+    aren't hits and have no error are what to add to the cache.
+    """
+    c = cached.select("key", F.col("value").alias("kept"), F.lit(True).alias("in_cache"))
+    s = storage.select("key", "raw", F.lit(True).alias("stored"))
+    j = wanted.select("key").join(c, "key", "left").join(s, "key", "left").withColumn("made", convert(F.col("raw")))
+    hit = F.coalesce("in_cache", F.lit(False))
+    error = F.when(hit, None).when(F.col("stored").isNull(), "NotFound").when(F.col("made").isNull(), "Convert")
+    return j.select("key", F.when(hit, F.col("kept")).otherwise(F.col("made")).alias("value"), hit.alias("hit"), error.alias("error"))
+
+
+def clear(base: DataFrame) -> DataFrame:
+    return base.limit(0)
+
+
+def create_table(spark, name: str, location: str | None = None) -> None:
+    """The document table, if absent."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (pk BINARY, sk BINARY, value BINARY) USING parquet{where}")
+
+
+def drop_table(spark, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -186,3 +186,51 @@ def stream_consumers(spark, sf_dir):
 @query("SELECT event_id, [props] AS data FROM events")
 def server_sent_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", blobs.event_data(F.concat(F.lit(": hello\n\ndata: "), F.col("props"), F.lit("\n\n"))).alias("data"))
+
+
+_S32 = "CASE WHEN {0} >= 2147483648 THEN {0} - 4294967296 ELSE {0} END"
+
+
+@query(f"""SELECT o_orderkey, {_S32.format('r')} AS rotr, cast(floor(s / (1 << n)) AS bigint) AS sshr, CASE WHEN v = 0 THEN 31 ELSE 31 - length(ltrim(bin(v), '0')) END AS cls, cast(cast(cast(reverse(lpad(bin(x), 32, '0')) AS bit) AS integer) AS bigint) AS bitrev,
+{_S32.format('w')} AS bswap, (a + 256) % 256 AS uextend, a AS sextend, {_s8('x')} AS ireduce
+FROM (SELECT *, ((x >> n) | ((x << (32 - n)) & {_M})) & {_M} AS r, CASE WHEN s < 0 THEN -s - 1 ELSE s END AS v, ((x & 255) << 24) | (((x >> 8) & 255) << 16) | (((x >> 16) & 255) << 8) | (x >> 24) AS w
+FROM (SELECT *, x - 1073741824 AS s, o_orderkey % 256 - 128 AS a, cast(o_orderkey % 31 AS integer) AS n FROM (SELECT o_orderkey, (o_custkey * 2654435 + o_orderkey) % 2147483648 AS x FROM orders)))""")
+def scalar_bits_moved(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") * 2654435 + F.col("o_orderkey")) % 2147483648).alias("x"), (F.col("o_orderkey") % 256 - 128).alias("a"), (F.col("o_orderkey") % 31).cast("int").alias("n"))
+    x, a, n, s = F.col("x"), F.col("a"), F.col("n"), F.col("x") - 1073741824
+    return o.select(
+        "o_orderkey", ints.rotr(x, n, 32).alias("rotr"), ints.sshr(s, n, 32).alias("sshr"), ints.cls(s, 32).cast("bigint").alias("cls"), ints.bitrev(x, 32).alias("bitrev"), ints.bswap(x, 32).alias("bswap"),
+        ints.uextend(a, 8).alias("uextend"), ints.sextend(a, 8).alias("sextend"), ints.ireduce(x, 8).alias("ireduce"),
+    )
+
+
+@query("""SELECT o_orderkey, (e + 1023) * 4503599627370496 + (k - (1 << e)) * (1 << (52 - e)) AS bits, cast(k AS double) AS back, CASE WHEN k % 2 = 0 THEN -o_totalprice ELSE o_totalprice END AS copysign,
+cast(CASE WHEN k % 2 = 0 THEN 4294967296 - k ELSE k END AS double) AS from_uint, CASE WHEN k % 3 = 0 THEN o_custkey ELSE k END AS chosen
+FROM (SELECT *, length(bin(k)) - 1 AS e FROM (SELECT *, o_orderkey + 1 AS k FROM orders))""")
+def scalar_conversions(spark, sf_dir):
+    k = F.col("o_orderkey") + 1
+    signed = F.when(k % 2 == 0, -k).otherwise(k)
+    bits = floats.bitcast(k.cast("double"), "bigint")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", bits.alias("bits"), floats.bitcast(bits, "double").alias("back"), floats.fcopysign(F.col("o_totalprice"), signed.cast("double")).alias("copysign"), floats.from_uint(signed, 32).alias("from_uint"), F.when(k % 3 == 0, F.col("o_custkey")).otherwise(k).alias("chosen"),
+    )
+
+
+@query("SELECT s_suppkey, [least(255, greatest(0, a * 100)), least(255, greatest(0, b * 100))] AS unarrow, [(a + 256) % 256] AS uwiden FROM (SELECT s_suppkey, s_suppkey % 9 - 4 AS a, cast(s_nationkey % 3 - 1 AS bigint) AS b FROM supplier)")
+def scalar_lanes_unsigned(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 9 - 4).alias("a"), (F.col("s_nationkey") % 3 - 1).cast("bigint").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return s.select("s_suppkey", lanes.unarrow(F.array(a * 100, b * 100), 8).alias("unarrow"), lanes.uwiden_low(F.array(a, b), 8).alias("uwiden"))
+
+
+@query("""SELECT p_partkey, p_brand AS last_wins, [p_name, p_brand, p_type] AS flat, CASE WHEN p_size % 2 = 0 THEN '"Unit"' ELSE '{"Newtype":' || p_size || '}' END AS external, format('{:,.2f}', p_retailprice * 1000) AS localized,
+-1 AS compared, true AS well_formed, 'a' || chr(65533) || 'b' AS repaired, p_brand AS entry FROM part""")
+def scalar_structures(spark, sf_dir):
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), F.col(v).alias("v"))
+    m = X.from_entries(F.array(entry("x", "p_name"), entry("y", "p_type"), entry("x", "p_brand")))
+    nested = F.array(F.array(F.array("p_name", "p_brand")), F.array(F.array("p_type")))
+    external = F.when(F.col("p_size") % 2 == 0, X.external_tag(F.lit("Unit"))).otherwise(X.external_tag(F.lit("Newtype"), F.col("p_size").cast("string")))
+    return _part(spark, sf_dir).select(
+        "p_partkey", F.element_at(m, "x").alias("last_wins"), F.flatten(F.flatten(nested)).alias("flat"), external.alias("external"), F.format_number(F.col("p_retailprice") * 1000, 2).alias("localized"), X.locale_compare(F.lit("a"), F.lit("B")).alias("compared"),
+        X.is_well_formed(F.col("p_name")).alias("well_formed"), X.to_well_formed(F.lit(bytearray(b"a\xffb")).cast("string")).alias("repaired"), F.get(F.filter(F.map_entries(m), lambda e: e["key"] == "x"), F.lit(0))["value"].alias("entry"),
+    )

@@ -54,3 +54,21 @@ def kv_change_feed(spark, sf_dir):
     before = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
     after = before.filter("value % 3 <> 0").withColumn("value", F.when(F.col("value") % 3 == 1, F.col("value") + 1).otherwise(F.col("value")))
     return tails.changes(before, after)
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def stream_publish_set(spark, sf_dir):
+    d = work_dir(spark, "set")
+    return tails.publish_set(events_stream(spark, sf_dir).select("event_type"), "event_type", f"{d}/out", f"{d}/state")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 1")
+def stream_queue_deliver(spark, sf_dir):
+    d, events = work_dir(spark, "queue"), table(spark, sf_dir, "events").select("event_id", "event_type")
+    q = tails.Queue(spark, f"{d}/messages", f"{d}/state", events.schema)
+    deliver = lambda df, batch: df.write.mode("overwrite").parquet(f"{d}/delivered/batch={batch}")
+    for part in ("event_id % 2 = 0", "event_id % 10 = 1"):
+        q.enqueue(events.filter(part))
+        q.listen(deliver)
+    q.close()
+    return spark.read.parquet(f"{d}/delivered").select("event_id", "event_type")

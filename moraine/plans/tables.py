@@ -364,3 +364,26 @@ def sql_extension_function(spark, sf_dir):
 
     register_test_func(spark)
     return table(spark, sf_dir, "nation").selectExpr("n_nationkey", "test_func(n_name) AS name")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 20 AND p_brand IN ('Brand#11', 'Brand#12') OR p_name = 'small ring'")
+def search_structured(spark, sf_dir):
+    return listing.structured(table(spark, sf_dir, "part"), "p_size > 20 AND p_brand IN ('Brand#11', 'Brand#12') OR p_name = 'small ring'").select("p_partkey")
+
+
+@query("""SELECT c_name AS key, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS value, c_custkey AS old, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false END AS swapped FROM customer
+UNION ALL SELECT 'fresh', 7, NULL, true""")
+def kv_compare_and_set(spark, sf_dir):
+    base = kv(spark, sf_dir)
+    asked = base.filter("value % 4 < 2").select("key", F.when(F.col("value") % 4 == 0, F.col("value")).otherwise(-1).alias("expected"), F.lit(0).cast("bigint").alias("value"))
+    fresh = spark.createDataFrame([("fresh", None, 7), ("gone", 1, 8)], "key string, expected bigint, value bigint")
+    return store.compare_and_set(base, asked.union(fresh))
+
+
+@query("""SELECT c_name AS key, CASE WHEN k % 3 = 0 THEN -k WHEN k % 2 = 0 AND k % 10 <> 0 THEN k END AS value, k % 3 = 0 AS hit,
+CASE WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 1 THEN 'NotFound' WHEN k % 10 = 0 THEN 'Convert' END AS error FROM (SELECT c_name, c_custkey AS k FROM customer)""")
+def kv_read_through(spark, sf_dir):
+    base = kv(spark, sf_dir)
+    cached = base.filter("value % 3 = 0").withColumn("value", -F.col("value"))
+    storage = base.filter("value % 2 = 0").select("key", F.when(F.col("value") % 10 == 0, "x").otherwise(F.col("value").cast("string")).alias("raw"))
+    return store.read_through(base.select("key"), cached, storage, lambda raw: raw.try_cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,3 +70,55 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     j = a.join(b, "key", "full_outer")
     kind = F.when(F.col("b").isNull(), "delete").when(F.col("a").isNull() | ~F.col("old").eqNullSafe(F.col("new")), "set")
     return j.withColumn("change", kind).filter(F.col("change").isNotNull()).select("key", "change", F.col("new").alias("value"))
+
+
+def publish_set(stream: DataFrame, key: str, path: str, checkpoint: str, timeout_s: int = 120) -> DataFrame:
+    """Publishes the whole set of keys seen so far, replacing what was published, for each batch there is."""
+    spark = stream.sparkSession
+    whole = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key)
+    q = whole.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
+    try:
+        if not q.awaitTermination(timeout_s):
+            raise TimeoutError("the stream didn't end")
+    finally:
+        q.stop()
+    return spark.read.schema(whole.schema).parquet(path)
+
+
+def with_gauges(df: DataFrame, observation, **gauges) -> DataFrame:
+    """Reports aggregates of the rows that pass, to an Observation or (by name, for a stream) to its listeners."""
+    return df.observe(observation, *[c.alias(name) for name, c in gauges.items()])
+
+
+class Queue:
+    """Messages in a folder of Parquet files; a listener's checkpoint keeps what was delivered.
+
+    ``folder`` and ``state`` are on the storage that executors share.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, state: str, schema):
+        self.spark, self.folder, self.state, self.schema, self.closed = spark, folder, state, schema, False
+
+    def _open(self) -> None:
+        if self.closed:
+            raise RuntimeError("Queue already closed")
+
+    def enqueue(self, messages: DataFrame) -> dict:
+        """Appends; the versionstamp orders the enqueues of one writer."""
+        self._open()
+        messages.write.mode("append").parquet(self.folder)
+        return {"ok": True, "versionstamp": f"{time.time_ns():020x}"}
+
+    def listen(self, handler, timeout_s: int = 120) -> None:
+        """Gives (messages, batch number) to ``handler`` until all that is there was delivered; a batch may come again after a failure."""
+        self._open()
+        stream = self.spark.readStream.schema(self.schema).parquet(self.folder)
+        q = stream.writeStream.option("checkpointLocation", self.state).foreachBatch(handler).trigger(availableNow=True).start()
+        try:
+            if not q.awaitTermination(timeout_s):
+                raise TimeoutError("the listener didn't end")
+        finally:
+            q.stop()
+
+    def close(self) -> None:
+        self.closed = True

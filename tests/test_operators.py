@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import codecs, floats, ints, lanes
 from moraine.functions import text as X
-from moraine.operators import fleet, listing, log, store
+from moraine.operators import fleet, handlers, listing, log, store
 from moraine.sources import blobs, paged
 from moraine.streaming import tails
 
@@ -134,3 +134,64 @@ def test_dead_letters_in_order(spark):
     m = spark.createDataFrame([("test",)], "value string")
     out = tails.route_letters(m, lambda k: F.lit(True), ["queue_failed/a", "queue_failed/b"]).orderBy("to_pos").collect()
     assert [(r.to_key, r.value, r.attempts) for r in out] == [("queue_failed/a", "test", 3), ("queue_failed/b", "test", 3)]
+
+
+def test_compare_and_set(spark):
+    kv = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value bigint")
+    swaps = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", None, 5), ("d", 1, 5)], "key string, expected bigint, value bigint")
+    got = {r.key: (r.value, r.old, r.swapped) for r in store.compare_and_set(kv, swaps).collect()}
+    assert got == {"a": (5, 1, True), "b": (2, 2, False), "c": (5, None, True)}
+    assert store.clear(kv).count() == 0
+
+
+def test_read_through(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = store.read_through(df([("a",), ("b",), ("c",), ("d",)], "key string"), df([("a", 1)], "key string, value bigint"), df([("a", "9"), ("b", "2"), ("c", "x")], "key string, raw string"), lambda raw: raw.try_cast("bigint"))
+    assert {r.key: (r.value, r.hit, r.error) for r in out.collect()} == {"a": (1, True, None), "b": (2, False, None), "c": (None, False, "Convert"), "d": (None, False, "NotFound")}
+
+
+def test_document_table(spark, tmp_path):
+    store.create_table(spark, "docs_made", f"file://{tmp_path}/docs")
+    store.create_table(spark, "docs_made", f"file://{tmp_path}/docs")
+    assert spark.table("docs_made").columns == ["pk", "sk", "value"]
+    store.drop_table(spark, "docs_made")
+    store.drop_table(spark, "docs_made")
+    assert not spark.catalog.tableExists("docs_made")
+
+
+def test_handlers(spark):
+    with pytest.raises(TypeError):
+        handlers.respond("no function")
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "s string").select("s", handlers.respond(lambda s: int(s) + 1)(F.col("s")).alias("r"))
+    assert {r.s: tuple(r.r) for r in df.collect()} == {"1": (200, "2"), "x": (500, None), None: (500, None)}
+    assert one(spark, handlers.broken_limit(F.lit(131072), F.lit(0)), handlers.broken_limit(F.lit(131073), F.lit(0)), handlers.broken_limit(F.lit(1), F.lit(104857601))) == (None, "headers", "body")
+
+
+def test_bitcasts(spark):
+    got = one(spark, floats.bitcast(F.lit(1.0), "bigint"), floats.bitcast(F.lit(-0.0).cast("float"), "int"), floats.bitcast(F.lit(0x3F800000), "float"), floats.bitcast(F.lit(None).cast("double"), "bigint"), floats.bitcast(F.lit(2**63 - 1), "double"))
+    assert got[:4] == (0x3FF0000000000000, -(2**31), 1.0, None) and got[4] != got[4]
+
+
+def test_queue(spark, tmp_path):
+    q = tails.Queue(spark, f"file://{tmp_path}/queue", f"file://{tmp_path}/state", "value string")
+    got = []
+    sent = q.enqueue(spark.createDataFrame([("test",)], "value string"))
+    q.listen(lambda df, batch: got.extend(r.value for r in df.collect()))
+    q.listen(lambda df, batch: got.extend(r.value for r in df.collect()))
+    assert sent["ok"] and sent["versionstamp"] is not None and got == ["test"]
+    q.close()
+    with pytest.raises(RuntimeError, match="Queue already closed"):
+        q.listen(print)
+
+
+def test_gauges(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("hosts")
+    assert tails.with_gauges(spark.range(5), seen, hosts=F.count(F.lit(1)), last=F.max("id")).count() == 5
+    assert seen.get == {"hosts": 5, "last": 4}
+
+
+def test_entries_and_tags(spark):
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"))
+    assert one(spark, X.from_entries(F.array(pair("a", 1), pair("b", 2), pair("a", 3))), X.external_tag(F.lit("Unit")), X.external_tag(F.lit("N"), F.lit("1"))) == ({"b": 2, "a": 3}, '"Unit"', '{"N":1}')
