@@ -65,9 +65,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def text_hash() -> Column:
+def text_hash(text: Column | None = None) -> Column:
     """Tells rows of one doc_id apart; null and empty texts are alike."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -97,8 +97,18 @@ def put_bytes(uri: str, data) -> None:
     fs.move(temp, path)
 
 
+#: Copies of remote arrays that this process maps, all of one folder: tasks of a worker share them.
+_COPIES: dict[str, np.ndarray] = {}
+
+
 def map_array(uri: str, dtype) -> np.ndarray:
-    """Memory-map a raw array.  A remote file is copied first, and its local copy unlinked while mapped."""
+    """Memory-map a raw array.
+
+    A remote file can't be mapped where it is: each worker process copies those
+    it searches, once for all its tasks, and unlinks the copy while mapped.
+    """
+    if uri in _COPIES:
+        return _COPIES[uri].view(dtype)
     fs, path = _fs(uri)
     size = fs.get_file_info(path).size
     if not size:
@@ -109,4 +119,7 @@ def map_array(uri: str, dtype) -> np.ndarray:
         with fs.open_input_stream(path) as src:
             shutil.copyfileobj(src, local)
         local.flush()
-        return np.memmap(local.name, dtype, "r")
+        if any(os.path.dirname(x) != os.path.dirname(uri) for x in _COPIES):
+            _COPIES.clear()
+        _COPIES[uri] = np.memmap(local.name, np.uint8, "r")
+        return _COPIES[uri].view(dtype)

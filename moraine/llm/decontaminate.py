@@ -245,4 +245,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without an exact match; rows are known by doc_id and text hash."""
     bad = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_hash() == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (text_hash(docs["text"]) == bad["bad_hash"]), "left_anti")

@@ -240,12 +240,13 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_bytes: i
     """Labelled texts outside the held-out fold: the ``size`` ids of smallest hash, as far as ``most_bytes`` goes.
 
     The ids, bounded by ``size``, are found first; then the texts come by a
-    broadcast of those.  A text longer than what is left ends the sample.
+    broadcast of those; of several texts of an id the least counts, so reruns
+    agree.  A text longer than what is left ends the sample.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     ids = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts, y, used = [], [], 0
-    order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id")
     for r in order.toLocalIterator():
         used += len(r["text"])
         if used > most_bytes:

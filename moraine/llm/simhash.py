@@ -167,6 +167,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     members = found.distinct()
     gone = members.join(best, F.col("component") == F.col("c")).filter(order != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     if found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_hash() == F.col("gone_hash")), "left_anti")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"]), "left_anti")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_hash().alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
     return whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti").select("row.*")

@@ -12,6 +12,8 @@ other than page_id, url and html are not looked at.
 from __future__ import annotations
 
 import gzip
+import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 #: The synthetic crawl has no time of its own.
 CRAWLED = "2024-01-01T00:00:00Z"
-SOFTWARE = "moraine"
+#: Compressed bytes of a written file, and bytes of blocks that a reading task sends on at once.
+FILE_BYTES = 64_000_000
+BATCH_BYTES = 16_000_000
 RECORD_SCHEMA = "record_id string, type string, headers map<string,string>, block string"
 
 
@@ -97,52 +101,78 @@ def record_bytes(record_id: str, kind: str, headers: dict, block: str) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", mtime=0)
 
 
-def write(recs: DataFrame, uri: str) -> DataFrame:
-    """Writes a .warc.gz for each partition into a shared folder; returns file, n_records, n_bytes once acted on.
+def write(recs: DataFrame, uri: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes .warc.gz files of about ``file_bytes`` into a shared folder; returns file, n_records, n_bytes once acted on.
 
-    Files are written under names of their own and renamed, so retried tasks are harmless.
+    A task holds one file at a time.  Files are written under names of their
+    own and renamed, so retried tasks are harmless.
     """
     from .common import put_bytes
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, out, n = TaskContext.get().partitionId(), [], 0
+        part, k, out, n, used = TaskContext.get().partitionId(), 0, [], 0, 0
+
+        def flush():
+            put_bytes(name := f"{uri}/part-{part:06d}-{k:04d}.warc.gz", b"".join(out))
+            return pa.RecordBatch.from_pydict({"file": [name], "n_records": [n], "n_bytes": [used]})
+
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 out.append(record_bytes(r["record_id"], r["type"], dict(r["headers"]), r["block"]))
-                n += 1
-        data = b"".join(out)
-        if data:
-            put_bytes(name := f"{uri}/part-{part:06d}.warc.gz", data)
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n], "n_bytes": [len(data)]})
+                n, used = n + 1, used + len(out[-1])
+                if used >= file_bytes:
+                    yield flush()
+                    k, out, n, used = k + 1, [], 0, 0
+        if out:
+            yield flush()
 
     return recs.select("record_id", "type", "headers", "block").mapInArrow(run, "file string, n_records long, n_bytes long")
 
 
 def parse(data: bytes):
-    """(headers, block) of each record of a .warc.gz or .warc file; stops at a broken tail."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) > 0:
-        lines = data[at:end].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        n = int(headers.get("Content-Length", 0))
-        if not lines[0].startswith("WARC/") or end + 4 + n > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+    """(headers, block) of each record of a .warc.gz or .warc file, a record at a time; stops at a broken tail."""
+    src = io.BytesIO(data)
+    src = gzip.GzipFile(fileobj=src) if data[:2] == b"\x1f\x8b" else src
+    try:
+        while line := src.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                return
+            headers = {}
+            while (line := src.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(":")
+                headers[name] = value.strip(" ")
+            n = int(headers.get("Content-Length", 0))
+            block = src.read(n)
+            if not line or len(block) < n:
+                return
+            yield headers, block
+    except (EOFError, OSError, zlib.error):  # a member cut short
+        return
 
 
 def read(spark, uri: str) -> DataFrame:
-    """Records of the .warc.gz files of a folder (record_id, type, headers, block), in any store that Spark reads."""
+    """Records of the .warc.gz files of a folder (record_id, type, headers, block), in any store that Spark reads.
+
+    A file comes to its task compressed and is unpacked a record at a time;
+    binaryFile bounds it to 2 GB.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.string())])
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                rows = [{"record_id": h.get("WARC-Record-ID"), "type": h.get("WARC-Type"), "headers": list(h.items()), "block": b.decode("utf-8", "replace")} for h, b in parse(content)]
-                schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.string())])
+                rows, used = [], 0
+                for h, b in parse(content):
+                    rows.append({"record_id": h.get("WARC-Record-ID"), "type": h.get("WARC-Type"), "headers": list(h.items()), "block": b.decode("utf-8", "replace")})
+                    used += len(b)
+                    if used >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, used = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri).select("content").mapInArrow(run, RECORD_SCHEMA)

@@ -384,3 +384,45 @@ def test_pipeline(spark):
     assert n[0] >= n[1] >= n[2] >= n[3] > 0 and n[4] == n[5]
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert all(b <= a for a, b in zip(ids, ids[1:])) and c.run(spark, DATA).count() == n[5]
+
+
+def test_warc_files_are_bounded_and_cut_tails_read(spark, tmp_path):
+    p = spark.createDataFrame([(i, f"http://e.org/{i}", f"<html><p>{i} {'x' * 500}</p></html>") for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    src = warc.responses(p)
+    files = warc.write(warc.records(src, warc.derive(src)).coalesce(1), f"file://{tmp_path}/w", 3000).collect()
+    assert len(files) > 3 and max(f.n_bytes for f in files) < 5000 and sum(f.n_records for f in files) == 90
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == 90
+    one = b"".join(warc.record_bytes(f"<urn:uuid:{i}>", "conversion", {"A": "b"}, f"\r\n\r\ntext {i}") for i in range(3))
+    assert [(h["WARC-Record-ID"], b) for h, b in warc.parse(one)] == [(f"<urn:uuid:{i}>", f"\r\n\r\ntext {i}".encode()) for i in range(3)]
+    assert [h["WARC-Record-ID"] for h, _ in warc.parse(one[:-20])][:2] == ["<urn:uuid:0>", "<urn:uuid:1>"]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"no archive\r\n")) == []
+
+
+def test_remote_arrays_are_copied_once_per_worker(tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+
+    from moraine.llm import common
+
+    np.arange(5, dtype="<u4").tofile(tmp_path / "a-0")
+    far, opened = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), []
+    monkeypatch.setattr(common, "_fs", lambda uri: (opened.append(uri), (far, uri.rsplit("/", 1)[1]))[1])
+    for _ in range(2):
+        assert common.map_array("far://m/lm-1/a-0", "<u4").tolist() == [0, 1, 2, 3, 4]
+    assert opened == ["far://m/lm-1/a-0"]
+    common.map_array("far://m/lm-2/a-0", "<u4")
+    assert list(common._COPIES) == ["far://m/lm-2/a-0"]
+    common._COPIES.clear()
+
+
+def test_stages_pass_columns_named_like_their_own(spark):
+    rows = [(i, t, i, i, i, i, i, i) for i, t in enumerate(["a b c d e f g h i j k", "a b c d e f g h i j k", "something else, quite"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, gone_hash long, bad_id long, bad_hash long, component long, text_hash long")
+    items = spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id long, text string")
+    assert sorted(r.gone_id for r in simhash.one_of_each(d).collect()) == [0, 2]
+    assert [tuple(r) for r in decontaminate.drop_contaminated(d, items).collect()] == [(2, rows[2][1], 2, 2, 2, 2, 2, 2)]
+
+
+def test_sample_of_a_repeated_id(spark):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([(i, 1, 0) for i in (1, 2)], "doc_id long, quality int, toxic int")
+    assert sorted(line_crf.sample(d, y)[0]) == [b"a", b"c"]
