@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A request's limits in bytes, with KB and MB read as powers of 1024.
 HEADER_BYTES, BODY_BYTES = 128 * 1024, 100 * 1024 * 1024
@@ -34,6 +35,19 @@ def respond(handler: Callable) -> Callable[[Column], Column]:
     return F.pandas_udf(run, "status int, body string")
 
 
+def probe(fetch: Callable) -> Callable[[Column], Column]:
+    """host -> body that ``fetch`` gives as (status code, body); null for a status beyond 2xx or where it raises."""
+
+    def one(host):
+        try:
+            code, body = fetch(host)
+        except Exception:  # no answer is an answer
+            return None
+        return body if 200 <= code < 300 else None
+
+    return F.pandas_udf(lambda hosts: hosts.map(one), T.StringType())
+
+
 def infer(load: Callable[[], Callable], return_type, batch_size: int = 1024) -> Callable[..., Column]:
     """``load`` gives a function from arrays to an array; it is called once for each worker, not for each batch."""
     return predict_batch_udf(load, return_type=return_type, batch_size=batch_size)

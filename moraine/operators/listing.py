@@ -116,9 +116,10 @@ def include_exclude(items: DataFrame, filters: DataFrame) -> DataFrame:
     def keyed(kind: str) -> DataFrame:
         e = exact.filter(F.col("kind") == kind)
         hit = items.join(e, (F.col("name") == F.col("fname")) & (F.col("fversion").isNull() | (F.col("version") == F.col("fversion"))), "left_semi")
-        return hit.select("name", "version").union(items.filter(fits(kind)).select("name", "version")).distinct()
+        return hit.select("name", "version").union(items.filter(fits(kind)).select("name", "version")).distinct().toDF("kname", "kversion")
 
-    return items.join(keyed("INCLUDE"), ["name", "version"], "left_semi").join(keyed("EXCLUDE"), ["name", "version"], "left_anti")
+    same = F.col("name").eqNullSafe(F.col("kname")) & F.col("version").eqNullSafe(F.col("kversion"))  # a version may be null
+    return items.join(keyed("INCLUDE"), same, "left_semi").join(keyed("EXCLUDE"), same, "left_anti")
 
 
 def in_range(c: Column, low, high) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers that one task orders at most when looking for gaps.
+GAP_SPAN = 1_000_000
+
 
 def slice_after(log: DataFrame, n: int) -> DataFrame:
     """Rows beyond the first n in order of seq; n over the count is an error.
@@ -24,16 +27,19 @@ def ends(log: DataFrame) -> DataFrame:
     return log.agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n_rows")).withColumn("is_dense", F.coalesce(F.col("last_seq") == F.col("n_rows"), F.lit(True)))
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """(after, missing): where seq jumps, by a self-join on seq + 1, without ordering the whole log in a task."""
-    following = log.select((F.col("seq") - 1).alias("seq"))
-    cut = log.select("seq").join(following, "seq", "left_anti")
-    begin = log.select(F.col("seq").alias("seq")).join(log.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti")
-    last = log.agg(F.max("seq").alias("m"))
-    nexts = cut.crossJoin(F.broadcast(last)).filter("seq < m").select(F.col("seq").alias("after"))
-    both = nexts.select(F.col("after").alias("at"), F.lit(0).alias("k")).union(begin.select(F.col("seq"), F.lit(1)))
-    paired = both.withColumn("next", F.lead("at").over(Window.orderBy("at", F.desc("k"))))  # only the ends of runs are left
-    return paired.filter("k = 0").select(F.col("at").alias("after"), (F.col("next") - F.col("at") - 1).alias("missing"))
+def gaps(log: DataFrame, span: int = GAP_SPAN) -> DataFrame:
+    """(after, missing): where seq jumps.
+
+    Numbers are ordered within spans of ``span``, so no task orders the whole
+    log; what follows a span's last number comes from a row for each span.
+    """
+    own = Window.partitionBy("part").orderBy("seq")
+    parts = log.select("seq", F.floor(F.col("seq") / span).alias("part")).filter(F.col("seq").isNotNull())
+    firsts = parts.groupBy("part").agg(F.min("seq").alias("first")).select("part", F.lead("first").over(Window.orderBy("part")).alias("later"))
+    nexts = parts.withColumn("next", F.lead("seq").over(own)).filter(F.col("next").isNull() | (F.col("next") > F.col("seq") + 1))
+    inside = nexts.filter(F.col("next").isNotNull()).select("seq", "next")
+    between = nexts.filter(F.col("next").isNull()).join(firsts, "part").select("seq", F.col("later").alias("next")).filter(F.col("next") > F.col("seq") + 1)
+    return inside.union(between).select(F.col("seq").alias("after"), (F.col("next") - F.col("seq") - 1).alias("missing"))
 
 
 def deltas(hosts: DataFrame, log: DataFrame) -> DataFrame:

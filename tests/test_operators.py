@@ -50,6 +50,9 @@ def test_log_shapes(spark):
         log.slice_after(gap, 3)
     assert tuple(log.ends(gap).first()) == (3, 2, False)
     assert [tuple(r) for r in log.gaps(gap).collect()] == [(1, 1)]
+    far = spark.createDataFrame([(i,) for i in (-7, 0, 1, 2, 9, 10, 10, 35, None)], "seq bigint")
+    for span in (1, 3, 10, 1000):
+        assert sorted(tuple(r) for r in log.gaps(far, span).collect()) == [(-7, 6), (2, 6), (10, 24)]
     hosts = spark.createDataFrame([(1, 0), (2, 3)], "host int, deployment_id bigint")
     assert {r.host: r.updates for r in log.deltas(hosts, gap).collect()} == {1: [10, 30], 2: []}
 
@@ -195,3 +198,10 @@ def test_gauges(spark):
 def test_entries_and_tags(spark):
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"))
     assert one(spark, X.from_entries(F.array(pair("a", 1), pair("b", 2), pair("a", 3))), X.external_tag(F.lit("Unit")), X.external_tag(F.lit("N"), F.lit("1"))) == ({"b": 2, "a": 3}, '"Unit"', '{"N":1}')
+
+
+def test_include_exclude_with_null_versions(spark):
+    items = spark.createDataFrame([("a", None), ("a", 1), ("b", None), ("b", 2)], "name string, version int")
+    rows = [("INCLUDE", "a", None, None), ("INCLUDE", None, "b", None), ("EXCLUDE", "b", None, None)]
+    got = listing.include_exclude(items, spark.createDataFrame(rows, "kind string, name string, pattern string, version int"))
+    assert sorted(got.collect(), key=str) == sorted([("a", None), ("a", 1)], key=str)
