@@ -155,13 +155,13 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one for each component: that of its least doc_id, then least text hash.
+def one_of_each(docs: DataFrame, find=near_duplicates) -> DataFrame:
+    """The rows of ``docs``, one for each component of ``find``: that of its least doc_id, then least text hash.
 
     A row is known by doc_id and text hash; of rows alike in both one stays.
     What goes is the smaller side of the last join.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "text_hash", "component"), "simhash-members")
+    found = materialize(find(docs).select("doc_id", "text_hash", "component"), "simhash-members")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     best = found.groupBy("component").agg(F.min(order).alias("best")).withColumnRenamed("component", "c")
     members = found.distinct()
