@@ -183,6 +183,12 @@ def stream_consumers(spark, sf_dir):
     return blobs.consume(chunks).select("stream_id", "text")
 
 
+@query("""SELECT user_id AS stream_id, string_agg(props, '' ORDER BY event_id) AS text FROM events GROUP BY 1""")
+def stream_consumers_whole(spark, sf_dir):
+    chunks = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("props").cast("binary").alias("chunk"))
+    return blobs.consume(chunks).select("stream_id", "text")
+
+
 @query("SELECT event_id, [props] AS data FROM events")
 def server_sent_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", blobs.event_data(F.concat(F.lit(": hello\n\ndata: "), F.col("props"), F.lit("\n\n"))).alias("data"))

@@ -64,10 +64,20 @@ def stream_publish_set(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 1")
 def stream_queue_deliver(spark, sf_dir):
+    return deliver_parts(spark, sf_dir, "event_id % 2 = 0", "event_id % 10 = 1")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_queue_deliver_whole(spark, sf_dir):
+    return deliver_parts(spark, sf_dir, "event_id % 2 = 0", "event_id IS NULL OR event_id % 2 <> 0")
+
+
+def deliver_parts(spark, sf_dir, *parts):
+    """Events of each part, queued and delivered one part after the other."""
     d, events = work_dir(spark, "queue"), table(spark, sf_dir, "events").select("event_id", "event_type")
     q = tails.Queue(spark, f"{d}/messages", f"{d}/state", events.schema)
     deliver = lambda df, batch: df.write.mode("overwrite").parquet(f"{d}/delivered/batch={batch}")
-    for part in ("event_id % 2 = 0", "event_id % 10 = 1"):
+    for part in parts:
         q.enqueue(events.filter(part))
         q.listen(deliver)
     q.close()

@@ -328,6 +328,12 @@ def group_to_lists(spark, sf_dir):
     return listing.group_lists(e, "event_type", "pos", "event_id")
 
 
+@query("SELECT event_type, list(event_id ORDER BY event_id) AS items FROM events GROUP BY 1")
+def group_to_lists_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("pos", F.col("event_id"))
+    return listing.group_lists(e, "event_type", "pos", "event_id")
+
+
 @query("""SELECT user_id AS batch, bool_and(event_type <> 'error') AS all_ok, arg_min(event_id, ts) AS race, arg_min(event_id, ts) FILTER (WHERE event_type <> 'error') AS any_ok,
 list(CASE WHEN event_type <> 'error' THEN 'fulfilled' ELSE 'rejected' END ORDER BY ts) AS statuses FROM events GROUP BY 1""")
 def promise_fan_in(spark, sf_dir):

@@ -31,3 +31,13 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["sk", "k"]
     assert set(plans.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_queries_take_every_event(spark):
+    """The queries without `_whole` keep the id subsets of their SQL."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n = events.count()
+    assert sum(len(r["items"]) for r in plans.QUERIES["group_to_lists_whole"](spark, DATA).collect()) == n
+    assert plans.QUERIES["stream_queue_deliver_whole"](spark, DATA).count() == n
+    texts = {r.stream_id: r.text for r in plans.QUERIES["stream_consumers_whole"](spark, DATA).collect()}
+    assert sum(map(len, texts.values())) == sum(len(r.props or "") for r in events.select("props").collect())
