@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .urls import LISTED_SITES, RULES
+from .urls import LISTED_SITES, NAMES, RULES
 
 
 def _uuid(x: str) -> str:
@@ -65,4 +65,8 @@ SELECT page_id, host, path, split_part(fit, '|', 1) AS rule,
 FROM c LEFT JOIN listed l ON c.canonical_url = l.canonical_url
 """
 
-ORACLES = {"op5_warc_derivatives": OP5, "op6_url_filter": OP6}
+_BY_SITE = f"""regexp_replace(host, '^(www|m|blog)\\.', '') IN ({", ".join(f"'{s}'" for s in LISTED_SITES)})"""
+assert _BY_SITE in OP6
+OP6_NAMES = OP6.replace(_BY_SITE, f"regexp_matches(host, '{NAMES}')")
+
+ORACLES = {"op5_warc_derivatives": OP5, "op6_url_filter": OP6, "op6_url_filter_names": OP6_NAMES}

@@ -33,8 +33,16 @@ def op5_warc_derivatives(spark, sf_dir):
 
 
 def op6_url_filter(spark, sf_dir):
+    return _judged(spark, sf_dir, urls.listed_sites)
+
+
+def op6_url_filter_names(spark, sf_dir):
+    return _judged(spark, sf_dir, urls.listed_names)
+
+
+def _judged(spark, sf_dir, listed):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    out = urls.judge(pages, urls.listed_sites(pages))
+    out = urls.judge(pages, listed(pages))
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "canonical_url", "is_listed")
 
 
@@ -54,4 +62,4 @@ def op10_motion_jpeg(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op3_virtual_slots, op4_simhash, op5_warc_derivatives, op6_url_filter, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op3_virtual_slots, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg)}

@@ -118,3 +118,13 @@ def listed_sites(pages: DataFrame, sites=LISTED_SITES) -> DataFrame:
     """Canonical URLs (url) of the pages of listed sites."""
     host = F.regexp_replace(host_of(F.col("url")), r"^(www|m|blog)\.", "")
     return pages.filter(host.isin(*sites)).select(canonical(F.col("url")).alias("url"))
+
+
+#: Site names (first labels) that the registered query by names lists, below any subdomain and under any ending.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+NAMES = rf"^([^:]*\.)?({'|'.join(LISTED_NAMES)})\.[^:]+(:[0-9]+)?$"
+
+
+def listed_names(pages: DataFrame, names: str = NAMES) -> DataFrame:
+    """Canonical URLs (url) of the pages whose host fits ``names``."""
+    return pages.filter(host_of(F.col("url")).rlike(names)).select(canonical(F.col("url")).alias("url"))
