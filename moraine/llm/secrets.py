@@ -3,11 +3,14 @@
 Candidates are runs of key-like characters.  Within a candidate every maximal
 run of one class (hex, base64) is scanned with a window whose character counts
 are kept incrementally; windows whose entropy reaches the class's threshold are
-merged into a span.  An allow-list suppresses such spans, never pattern spans.
+merged into a span.  An allow-list suppresses such spans, never pattern spans:
+fixed strings, and strings built like words (see ``wordlike``).
 
 Whole texts are scanned, in one pass without a shuffle.  Defined results: a null
-or empty text has no spans; repeated rows get equal results; positions are code
-points; an empty table gives none; further columns are not looked at by ``scan``.
+or empty text has no spans; a text of any length is scanned whole, in time that
+grows with it alone; repeated rows and equal texts get equal results; spans that
+begin at one place come in the order of KINDS; positions are code points; an
+empty table gives none; further columns are not looked at by ``scan``.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+#: Of [0-9a-f]+, whose runs are whole matches, those that are long enough.
+HEX_LONG = re.compile(r"[0-9a-f]{24,}")
+LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: What an entropy candidate is: a run of key-like characters that has a digit.
+#: What an entropy candidate is: a run of key-like characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: class: (its characters, bits per character that a window must reach)
@@ -34,27 +38,60 @@ CLASSES = {
     "hex": (frozenset("0123456789abcdefABCDEF"), 3.0),
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.7),
 }
-#: Strings that look random and aren't secret: digests of the empty string, UUIDs, words joined by signs, plain numbers.
-ALLOW = (
-    r"d41d8cd98f00b204e9800998ecf8427e",
-    r"da39a3ee5e6b4b0d3255bfef95601890afd80709",
-    r"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"([A-Za-z]+[-_/=+])*[A-Za-z]+[-_/=+]*[0-9]{0,4}",
-    r"[0-9+/_=-]+",
-    r"(.)\1+",
+#: Strings that look random and aren't secret: digests of the empty string, UUIDs, numbers, runs of one character.
+ALLOWED = re.compile(
+    r"d41d8cd98f00b204e9800998ecf8427e"
+    r"|da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|[0-9+/_=-]+"
+    r"|(.)\1+"
 )
-ALLOWED = re.compile("|".join(f"(?:{x.replace('(.)', '(?P<one>.)').replace(chr(92) + '1', '(?P=one)')})" for x in ALLOW))
+
+# What words look like, for the allow-list.
+SIGNS = re.compile(r"[-_/=+]+")
+PART = re.compile(r"([A-Za-z]*)([0-9]*)")
+CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]+")
+LONGEST_WORD, LONGEST_NUMBER = 24, 8
+#: Letters a word has on average at least, the share of vowels (with y) between which words are, and consonants in a row at most.
+MEAN_WORD, VOWELS, MOST_CONSONANTS = 3.25, (0.28, 0.7), 5
 _N_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
+def wordlike(s: str) -> bool:
+    """Whether signs part ``s`` into words, each with a short number after it at most, or short numbers.
+
+    Words are split where their case turns (aWordLikeThis); random letters
+    give very short words, long ones, few vowels or rows of consonants.
+    """
+    letters = words = 0
+    for part in SIGNS.split(s):
+        m = PART.fullmatch(part)
+        if not m or len(m.group(2)) > LONGEST_NUMBER:
+            return False
+        for w in CAMEL.findall(m.group(1)):
+            if len(w) > LONGEST_WORD or any(len(c) > MOST_CONSONANTS for c in CONSONANTS.findall(w)):
+                return False
+            letters, words = letters + len(w), words + 1
+    if not words:
+        return True
+    vowels = sum(map(s.lower().count, "aeiouy"))
+    return letters >= MEAN_WORD * words and VOWELS[0] * letters <= vowels <= VOWELS[1] * letters
+
+
+def allowed(s: str) -> bool:
+    return ALLOWED.fullmatch(s) is not None or wordlike(s)
+
+
 def windows(s: str, chars: frozenset, least: float, width: int = WINDOW) -> list[tuple[int, int]]:
     """Merged (start, end) of the windows over ``s``, within runs of ``chars``, whose entropy reaches ``least`` bits.
 
     With counts c of ``width`` characters the entropy is log2(width) - sum(c log2 c) / width; a
-    step changes two counts, so it costs the same for any width.
+    step takes the old character out and then the new one in, so it costs the same for any width.
     """
     spans: list[tuple[int, int]] = []
+    n_log = _N_LOG if width <= WINDOW else [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
     bound = (math.log2(width) - least) * width + 1e-9
     counts: dict[str, int] = {}
     begin, total = 0, 0.0
@@ -62,14 +99,14 @@ def windows(s: str, chars: frozenset, least: float, width: int = WINDOW) -> list
         if c not in chars:
             counts, total, begin = {}, 0.0, i + 1
             continue
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _N_LOG[n + 1] - _N_LOG[n]
         if i - begin >= width:
             old = s[i - width]
             n = counts[old]
             counts[old] = n - 1
-            total += _N_LOG[n - 1] - _N_LOG[n]
+            total += n_log[n - 1] - n_log[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += n_log[n + 1] - n_log[n]
         if i - begin >= width - 1 and total <= bound:
             start = i - width + 1
             if spans and start <= spans[-1][1]:
@@ -79,15 +116,15 @@ def windows(s: str, chars: frozenset, least: float, width: int = WINDOW) -> list
     return spans
 
 
-def entropy_spans(text: str, allowed: re.Pattern = ALLOWED, classes=CLASSES) -> list[tuple[int, int]]:
-    """Spans of text that some class finds random, merged; candidates or spans on the allow-list are left out."""
+def entropy_spans(text: str, allow=allowed, classes=CLASSES) -> list[tuple[int, int]]:
+    """Spans of text that some class finds random, merged; candidates or spans that ``allow`` knows are left out."""
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if s.isalpha() or allowed.fullmatch(s):
+        if allow(s):
             continue
         for a, b in sorted(x for chars, least in classes.values() for x in windows(s, chars, least)):
-            if allowed.fullmatch(s[a:b]):
+            if allow(s[a:b]):
                 continue
             a, b = a + m.start(), b + m.start()
             if found and a <= found[-1][1]:
@@ -105,10 +142,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-#: A run of [0-9a-f]+ is one match, so runs of LEAST_HEX or more are the matches that stay.
-HEX_LONG = re.compile(HEX.pattern[:-1] + "{%d,}" % LEAST_HEX)
-
-
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
