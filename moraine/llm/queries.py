@@ -20,6 +20,12 @@ def op2_line_crf(spark, sf_dir):
     return line_crf.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_labels(spark, sf_dir):
+    """Every line of every document with its probability of being good."""
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.line_labels(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_virtual_slots(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -62,4 +68,4 @@ def op10_motion_jpeg(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op3_virtual_slots, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg)}
