@@ -30,6 +30,11 @@ def op3_virtual_slots(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_grown(spark, sf_dir):
+    """The shards of all documents before and after a shard is added to the stored map."""
+    return sharding.assign_grown(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -68,4 +73,9 @@ def op10_motion_jpeg(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg)}
+def op10_clips(spark, sf_dir):
+    """Timed clips of every document's media."""
+    return media.clips(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op3_grown, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg, op10_clips)}
