@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -13,18 +14,26 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; the callers' rows are under 200 bytes wide.
+#: Rows, and bytes of their strings, up to which a side may be broadcast.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set to a temporary one only where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is made, of a local master alone:
+    on a cluster each machine would write to a disk of its own, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="moraine-shared-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -36,6 +45,12 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/moraine/{name}-{uuid.uuid4().hex}"
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes what this library wrote to the shared folder; for the end of a job, once no DataFrame of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/moraine")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives the loss of any executor."""
     path = new_dir(df.sparkSession, name)
@@ -49,8 +64,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join; ``small`` is broadcast only once its row count has been found to be bounded."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join; ``small`` is broadcast only once its rows and the bytes of its strings have been found to be bounded."""
+    width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0))
+    rows, size = small.select(width.cast("long").alias("w")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return df.join(small, on, how)
 

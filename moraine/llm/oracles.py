@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .urls import LISTED_SITES, NAMES, RULES
+from .urls import ENDINGS, FORMS, LANGUAGES, LISTED_SITES, NUMBERS, RULES
+from .warc import REFERENCE
 
 
 def _uuid(x: str) -> str:
@@ -21,8 +22,12 @@ WITH src AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(a, '(?s)<!--.*?-->', ' ', 'g'),
     '(?i)<(br|hr)\s*/?>|</(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|nav|header|footer|title|blockquote|pre)\s*>', chr(10), 'g'),
     '(?s)<[A-Za-z/!?][^>]*>', ' ', 'g') AS b FROM t1
+), t2_codes AS (
+  SELECT *, list_transform(list_sort(list_distinct(regexp_extract_all(b, '{REFERENCE}'))), lambda r: {{'r': r, 'n': CASE WHEN r[3] IN ('x', 'X') THEN cast('0x' || r[4:-2] AS integer) ELSE cast(r[3:-2] AS integer) END}}) AS refs FROM t2
+), t2_read AS (
+  SELECT *, list_reduce(list_transform(refs, lambda x: {{'t': x.r, 'c': CASE WHEN x.n > 0 AND x.n <= 1114111 AND NOT x.n BETWEEN 55296 AND 57343 THEN chr(x.n) ELSE chr(65533) END}}), lambda acc, x: {{'t': replace(acc.t, x.t, x.c), 'c': ''}}, {{'t': b, 'c': ''}}).t AS b2 FROM t2_codes
 ), t3 AS (
-  SELECT *, replace(replace(replace(replace(replace(replace(b, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS c FROM t2
+  SELECT *, replace(replace(replace(replace(replace(replace(b2, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS c FROM t2_read
 ), t4 AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(c, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
          'sha256:' || sha256(body) AS source_digest, {_uuid("'conversion|' || refers_to")} AS conversion_id,
@@ -37,7 +42,7 @@ WITH src AS (
                 'source-length: ', strlen(body), chr(13), chr(10), 'title: ', title, chr(13), chr(10), 'language: ', language, chr(13), chr(10)) FROM t4
 )
 SELECT page_id, type, record_id, refers_to, uri, '2024-01-01T00:00:00Z' AS date, content_type, cast(strlen(block) AS bigint) AS length,
-       'sha256:' || sha256(block) AS block_digest, source_digest
+       'sha256:' || sha256(block) AS block_digest, source_digest, block
 FROM both_kinds
 """
 
@@ -45,28 +50,28 @@ _CASES = "\n".join(
     f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}|{v}'" for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
 )
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
+_VALUES = lambda values: "(SELECT unnest([" + ", ".join(f"'{v}'" for v in values) + "]) AS v)"
 OP6 = rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path, coalesce(regexp_extract(url, '{_PARTS}', 3), '') AS query
   FROM pages
+), q AS (
+  SELECT *, array_to_string(list_filter(string_split(substr(query, 2), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), '&') AS kept FROM p
 ), c AS (
-  SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^(www|m)\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || regexp_replace(query, '^\?$|^\?utm_.*$', '') END AS canonical_url,
+  SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^(www|m)\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical_url,
     CASE
 {_CASES}
     END AS fit
-  FROM p
+  FROM q
 ), listed AS (
-  SELECT DISTINCT canonical_url FROM c WHERE regexp_replace(host, '^(www|m|blog)\.', '') IN ({", ".join(f"'{s}'" for s in LISTED_SITES)}) AND canonical_url <> ''
+  SELECT s.v || '.example.' || e.v || '/' || l.v || '/' || n.range || f.v AS url
+  FROM {_VALUES(LISTED_SITES)} s, {_VALUES(ENDINGS)} e, {_VALUES(LANGUAGES)} l, range({NUMBERS}) n, {_VALUES(FORMS)} f
 )
 SELECT page_id, host, path, split_part(fit, '|', 1) AS rule,
-       coalesce(split_part(fit, '|', 2), CASE WHEN l.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
-       c.canonical_url, l.canonical_url IS NOT NULL AS is_listed
-FROM c LEFT JOIN listed l ON c.canonical_url = l.canonical_url
+       coalesce(split_part(fit, '|', 2), CASE WHEN l.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       c.canonical_url, l.url IS NOT NULL AS is_listed
+FROM c LEFT JOIN listed l ON c.canonical_url = l.url
 """
 
-_BY_SITE = f"""regexp_replace(host, '^(www|m|blog)\\.', '') IN ({", ".join(f"'{s}'" for s in LISTED_SITES)})"""
-assert _BY_SITE in OP6
-OP6_NAMES = OP6.replace(_BY_SITE, f"regexp_matches(host, '{NAMES}')")
-
-ORACLES = {"op5_warc_derivatives": OP5, "op6_url_filter": OP6, "op6_url_filter_names": OP6_NAMES}
+ORACLES = {"op5_warc_derivatives": OP5, "op6_url_filter": OP6}

@@ -40,20 +40,12 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_warc_derivatives(spark, sf_dir):
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op6_url_filter(spark, sf_dir):
-    return _judged(spark, sf_dir, urls.listed_sites)
-
-
-def op6_url_filter_names(spark, sf_dir):
-    return _judged(spark, sf_dir, urls.listed_names)
-
-
-def _judged(spark, sf_dir, listed):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    out = urls.judge(pages, listed(pages))
+    out = urls.judge(pages, urls.block_list(spark))
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "canonical_url", "is_listed")
 
 
@@ -78,4 +70,4 @@ def op10_clips(spark, sf_dir):
     return media.clips(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op3_grown, op4_simhash, op5_warc_derivatives, op6_url_filter, op6_url_filter_names, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg, op10_clips)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op3_grown, op4_simhash, op5_warc_derivatives, op6_url_filter, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg, op10_clips)}

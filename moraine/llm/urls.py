@@ -1,12 +1,15 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs, then an exact hash join of its hits.
 
-The filter's blocks are built by aggregation and kept as rows; a URL probes one
-block.  Only possible hits reach the exact join, which removes false positives.
-Rules on host and path prefix go before the list; the longest that fits wins.
+The list is an input of its own (column url).  The filter's blocks are built by
+aggregation and kept as rows; a URL probes one block.  Only possible hits reach
+the exact join, which removes false positives.  Rules on host and path prefix go
+before the list; the longest that fits wins.
 
 Defined results: a null URL, or one without ://, has an empty host and path, is
-on no list, fits no rule and is allowed; repeated rows are each judged; an empty
-table or list gives no hits; further columns pass through.
+on no list, fits no rule and is allowed; URLs of any length are compared whole;
+URLs with one canonical form are judged alike; rules of one length go by their
+text; repeated rows are each judged, and a URL listed twice counts once; an
+empty table or list gives no hits; further columns pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, materialize
+from .common import BROADCAST_ROWS, ascii_lower, join_small, materialize
 
 #: (host, path, verdict)
 RULES = (
@@ -26,8 +29,12 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Sites whose URLs the registered query lists.
-LISTED_SITES = ("ads-track.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
+#: What the registered query's list is made of: sites, endings, languages, numbers of pages, and forms of a page's address.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("com", "net", "org")
+LANGUAGES = ("en", "de", "fr", "es")
+FORMS = ("", ".html", "?page=2&ref=x")
+NUMBERS = 5_000
 
 #: A block is 8 words of 64 bits, of which a URL sets one bit each.
 WORDS = 8
@@ -49,10 +56,10 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without www. or m. and default port, path without closing slashes, query unless it tracks; no scheme or fragment."""
+    """Host without www. or m. and default port, path without closing slashes, query without parameters that track or are empty; no scheme or fragment."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.|:(80|443)$", "")
-    query = F.regexp_replace(url_part(url, 3), r"^\?$|^\?utm_.*$", "")
-    return F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query)
+    kept = F.array_join(F.filter(F.split(F.substr(url_part(url, 3), F.lit(2)), "&"), lambda p: (p != "") & ~p.startswith("utm_")), "&")
+    return F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -82,8 +89,8 @@ def bloom(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
     return x.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), n_blocks
 
 
-def on_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """The distinct ``canonical_url`` of ``urls`` that are in ``listed`` (column url, canonical).
+def hits(urls: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(maybe, exact): the distinct ``canonical_url`` of ``urls`` that the filter passes, and those of them that are in ``listed`` (column url, canonical).
 
     The blocks are broadcast if few by count (72 bytes each), else joined by
     block.  Hits are made distinct, with map-side combining, before the exact
@@ -96,7 +103,13 @@ def on_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
     c = F.col("canonical_url")
     probed = urls.select("canonical_url").filter(c != "").withColumn("block", _block(c, n_blocks)).join(blocks, "block")
     maybe = probed.filter(reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(c))]))
-    return maybe.select("canonical_url").distinct().join(listed, F.col("canonical_url") == F.col("url"), "left_semi")
+    maybe = materialize(maybe.select("canonical_url").distinct(), "url-hits")
+    return maybe, maybe.join(listed, F.col("canonical_url") == F.col("url"), "left_semi")
+
+
+def on_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """The distinct ``canonical_url`` of ``urls`` that are in ``listed``."""
+    return hits(urls, listed)[1]
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
@@ -104,25 +117,25 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     url = F.col("url")
     x = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), F.when(host_of(url) != "", canonical(url)).otherwise("").alias("canonical_url"))
     x = x.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    hits = materialize(on_list(x, listed), "url-hits")
-    hits = hits.select(F.col("canonical_url").alias("hit"))
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    j = x.join(hits, F.col("canonical_url") == F.col("hit"), "left")
+    exact = materialize(on_list(x, listed), "url-exact").select(F.col("canonical_url").alias("hit"))
+    j = join_small(x, exact, F.col("canonical_url") == F.col("hit"))
     is_listed = F.col("hit").isNotNull()
     verdict = F.coalesce(F.col("fit.verdict"), F.when(is_listed, "block").otherwise("allow"))
     return j.select("row", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "canonical_url", is_listed.alias("is_listed"))
 
 
-def listed_sites(pages: DataFrame, sites=LISTED_SITES) -> DataFrame:
-    """Canonical URLs (url) of the pages of listed sites."""
-    host = F.regexp_replace(host_of(F.col("url")), r"^(www|m|blog)\.", "")
-    return pages.filter(host.isin(*sites)).select(canonical(F.col("url")).alias("url"))
+def block_list(spark, sites=LISTED_SITES, numbers: int = NUMBERS) -> DataFrame:
+    """A list of canonical URLs (url): every page number below ``numbers`` of the sites, under all endings, in all languages and forms."""
+    parts, n = F.lit("").cast("string"), F.col("id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    for values, before in ((sites, ""), (ENDINGS, ".example."), (LANGUAGES, "/")):
+        parts, n = F.concat(parts, F.lit(before), pick(values)), F.floor(n / len(values))
+    form, n = pick(FORMS), F.floor(n / len(FORMS))
+    return spark.range(len(sites) * len(ENDINGS) * len(LANGUAGES) * len(FORMS) * numbers).select(F.concat(parts, F.lit("/"), n.cast("string"), form).alias("url"))
 
 
-#: Site names (first labels) that the registered query by names lists, below any subdomain and under any ending.
-LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-NAMES = rf"^([^:]*\.)?({'|'.join(LISTED_NAMES)})\.[^:]+(:[0-9]+)?$"
+#: Site names below any subdomain and under any ending, for a list drawn from pages.
+NAMES = rf"^([^:]*\.)?({'|'.join(LISTED_SITES)})\.[^:]+(:[0-9]+)?$"
 
 
 def listed_names(pages: DataFrame, names: str = NAMES) -> DataFrame:

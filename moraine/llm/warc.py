@@ -1,18 +1,26 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records.
 
-A derived record refers to its response's record id, repeats the source's
-target URI, date and headers that it needs, and has digests of its own block.
-Record ids are hashes of the source record's id, so reruns agree.
+``read_responses`` takes the response records of an archive apart (HTTP head,
+transfer and content encodings, character set), ``derive`` makes the derived
+records, ``records`` and ``write`` put both into an archive.  A derived record
+refers to its response's record id, repeats the source's target URI, date and
+digest, has a digest of its own block, and its metadata keep the source's HTTP
+headers.  Record ids are hashes of the source record's id, so reruns agree.
 
 Defined results: a null URL or body is an empty one and its records are still
-made; repeated rows give repeated records; an empty table gives none; columns
+made; markup that is broken or never ends is text up to where it breaks, and
+bodies of any length are converted whole; numeric references of no character are
+U+FFFD; repeated rows give repeated records; rows of one URL are each converted;
+a response without an HTTP head is all body; an empty table gives none; columns
 other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import re
 import zlib
 
 import pyarrow as pa
@@ -37,13 +45,30 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
+REFERENCE = r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+
+
+def numeric_references(x: Column) -> Column:
+    """Decimal and hexadecimal character references as their characters; those of none as U+FFFD."""
+
+    def character(ref: Column) -> Column:
+        digits = F.substr(ref, F.lit(3), F.length(ref) - 3)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("long")
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0))))
+    return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, lambda text, ref: F.replace(text, ref, character(ref)))).otherwise(x)
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and head go, block ends become lines, five entities are read."""
+    """Text of a page: scripts, styles, comments and head go, block ends become lines, named entities of markup and all numeric ones are read."""
     x = F.regexp_replace(html, r"(?is)<(script|style|head|template|noscript)\b.*?</(script|style|head|template|noscript)\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<(br|hr)\s*/?>|</(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|nav|header|footer|title|blockquote|pre)\s*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[A-Za-z/!?][^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    x = numeric_references(x)
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
@@ -67,6 +92,9 @@ def derive(source: DataFrame) -> DataFrame:
         F.lit("conversion: "), F.col("conversion_id"), F.lit("\r\nsource-content-type: "), F.col("content_type"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-length: "), F.octet_length("body").cast("string"),
         F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("language"), F.lit("\r\n"),
     )
+    if "http_headers" in source.columns:  # of an archive: status line and headers as they were
+        lines = F.transform("http_headers", lambda h: F.concat(F.lit("source-http-"), F.lower(h["name"]), F.lit(": "), h["value"], F.lit("\r\n")))
+        meta = F.concat(meta, F.lit("source-http-status: "), F.coalesce(F.col("http_status").cast("string"), F.lit("")), F.lit("\r\n"), F.array_join(lines, ""))
     made = F.array(
         F.struct(F.col("conversion_id").alias("id"), F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
         F.struct(uuid_of(F.concat(F.lit("metadata|"), F.col("record_id"))).alias("id"), F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
@@ -94,6 +122,93 @@ def records(source: DataFrame, derived: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+RESPONSES = "page_id long, record_id string, uri string, date string, content_type string, body string, payload_digest string, http_status int, http_headers array<struct<name:string,value:string>>, warc_headers map<string,string>"
+
+
+def http_response(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """(status, headers in order, payload as sent) of an HTTP response; what has no head is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return None, [], block
+    head, mark, body = block.partition(b"\r\n\r\n")
+    if not mark:
+        head, _, body = block.partition(b"\n\n")
+    first, *lines = head.decode("latin-1").replace("\r\n", "\n").split("\n")
+    parts, headers = first.split(" ", 2), []
+    for line in lines:
+        if line[:1] in (" ", "\t") and headers:  # a folded header
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            headers.append((name.strip(), value.strip()))
+    return int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None, headers, body
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body of chunked transfer coding put together; as it is where it isn't of that form."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body if not out else b"".join(out)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def decoded(body: bytes, headers: dict[str, str]) -> str:
+    """The text of a payload: transfer coding, content coding and character set undone."""
+    if headers.get("transfer-encoding", "").lower() == "chunked":
+        body = unchunked(body)
+    coding = headers.get("content-encoding", "").lower()
+    try:
+        if coding in ("gzip", "x-gzip", "deflate"):
+            body = zlib.decompressobj(-15 if coding == "deflate" and body[:1] != b"\x78" else 47).decompress(body)
+    except zlib.error:
+        pass  # said to be compressed and isn't
+    found = CHARSET.search(headers.get("content-type", "")) or CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        return body.decode(found.group(1) if found else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+CHARSET = re.compile(r"charset=[\"']?([A-Za-z0-9_-]+)", re.IGNORECASE)
+
+
+def read_responses(spark, uri: str) -> DataFrame:
+    """The response records of the .warc.gz files of a folder as ``derive`` takes them (page_id is null), with status, HTTP headers and WARC headers.
+
+    The payload digest is the record's own if it has one, else of the payload as sent.
+    """
+    names = [x.strip().split(" ")[0] for x in RESPONSES.split(", ")]
+
+    def run(batches):
+        schema = pa.schema([(n, pa.int64() if n == "page_id" else pa.int32() if n == "http_status" else pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])) if n == "http_headers" else pa.map_(pa.string(), pa.string()) if n == "warc_headers" else pa.string()) for n in names])
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                rows, used = [], 0
+                for h, block in parse(content):
+                    if h.get("WARC-Type") != "response":
+                        continue
+                    status, headers, payload = http_response(block)
+                    by_name = {k.lower(): v for k, v in headers}
+                    given = h.get("WARC-Payload-Digest") or "sha256:" + hashlib.sha256(payload).hexdigest()
+                    row = (None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI", ""), h.get("WARC-Date", ""), by_name.get("content-type", ""), decoded(payload, by_name), given, status, [{"name": k, "value": v} for k, v in headers], list(h.items()))
+                    rows.append(dict(zip(names, row)))
+                    used += len(block)
+                    if used >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, used = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri).select("content").mapInArrow(run, RESPONSES)
+
+
 def record_bytes(record_id: str, kind: str, headers: dict, block: str) -> bytes:
     """One record as the format has it, in a gzip member of its own."""
     body = (block or "").encode()
