@@ -7,11 +7,12 @@ is an exponential tilt, r = min(2, exp(lambda * size / mean size)).  Newton's
 method finds every source's lambda at once: an iteration is one aggregation
 over the counts of (source, size).  Rates are then rounded into whole copies.
 
-Defined results: a null text has size 0; a null source is a source, and the
-last; documents of size 0 are kept once and take no words; repeated rows get
-equal copies unless among a source's BALANCERS last ones, where they still do;
-an empty table gives an empty result; further columns pass through ``mix`` and
-are not looked at.
+Defined results: a null text has size 0; a text of any length is one document,
+which can't be parted, so a source's taken words may be off by half its largest
+document; a null source is a source, and the last; documents of size 0 are kept
+once and take no words; repeated rows, which share a key, get equal copies;
+equal sizes go by key; reruns agree; an empty table gives an empty result;
+further columns pass through ``mix`` and ``repeated`` and are not looked at.
 """
 
 from __future__ import annotations
@@ -86,8 +87,8 @@ def solve(counts: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         narrow = F.col("hi2") - F.col("lo2") < 1e-12
         state = checkpoint(j.select("source", "source_size", "target", "mean", lam.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("done") | near | narrow).alias("done")))
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.drop("lo", "hi", "done")
+            return state.drop("lo", "hi", "done")
+    raise RuntimeError(f"mixing: not solved after {ITERATIONS} steps")
 
 
 def copies_of(slim: DataFrame, most: float = MOST) -> tuple[DataFrame, DataFrame]:
@@ -141,10 +142,21 @@ def with_rate(keyed: DataFrame, state: DataFrame, most: float) -> DataFrame:
 
 def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
     """All columns of ``docs`` and, under names of their own, mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
+    return _whole(docs, most).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
+
+
+def repeated(docs: DataFrame, most: float = MOST) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, in their own columns, whatever their names."""
+    taken = _whole(docs, most).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+def _whole(docs: DataFrame, most: float) -> DataFrame:
+    """Rows as structs with what the mix says of them; the size is counted again, which costs less than a join by row."""
     slim = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-slim")
     state, balanced = copies_of(slim, most)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    return _copied(with_key(whole), state, balanced, most).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
+    return _copied(with_key(whole), state, balanced, most)
 
 
 def _copied(keyed: DataFrame, state: DataFrame, balanced: DataFrame, most: float) -> DataFrame:

@@ -158,15 +158,24 @@ def report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, find=near_duplicates) -> DataFrame:
     """The rows of ``docs``, one for each component of ``find``: that of its least doc_id, then least text hash.
 
-    A row is known by doc_id and text hash; of rows alike in both one stays.
-    What goes is the smaller side of the last join.
+    A row is known by doc_id and text hash; of rows alike in both one stays,
+    that whose other columns come first as JSON text, so reruns agree.  What
+    goes is the smaller side of the last join, and only repeated rows are
+    shuffled whole.
     """
     found = materialize(find(docs).select("doc_id", "text_hash", "component"), "simhash-members")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     best = found.groupBy("component").agg(F.min(order).alias("best")).withColumnRenamed("component", "c")
     members = found.distinct()
     gone = members.join(best, F.col("component") == F.col("c")).filter(order != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    if found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"]), "left_anti")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_hash().alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
-    return whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti").select("row.*")
+    known = lambda x, i, h: F.col("known.doc_id").eqNullSafe(F.col(f"{x}.{i}")) & (F.col("known.text_hash") == F.col(f"{x}.{h}"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*every).alias("row"), F.struct("doc_id", text_hash().alias("text_hash")).alias("known"))
+    left = rows.join(gone.alias("g"), known("g", "gone_id", "gone_hash"), "left_anti")
+    repeated = materialize(found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "simhash-repeated").alias("r")
+    if repeated.isEmpty():
+        return left.select("row.*")
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
+    same = known("r", "doc_id", "text_hash")
+    one = left.join(repeated, same, "left_semi").groupBy("known").agg(F.min_by("row", rest).alias("row"))
+    return left.join(repeated, same, "left_anti").select("row.*").union(one.select("row.*"))
