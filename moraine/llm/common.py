@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -47,10 +48,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Deletes what this library wrote to the shared folder; for the end of a job, once no DataFrame of it is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/moraine")
+    remove(spark, f"{shared_root(spark)}/moraine")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of this library's that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to any more: the driver's collector has executors delete them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives the loss of any executor."""
     path = new_dir(df.sparkSession, name)

@@ -13,7 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_kneser_ney(spark, sf_dir):
-    return kneser_ney.report(table(spark, sf_dir, "documents"))
+    return kneser_ney.report(table(spark, sf_dir, "documents"), 3)
+
+
+def op1_bigrams(spark, sf_dir):
+    """The same model of order 2."""
+    return kneser_ney.report(table(spark, sf_dir, "documents"), 2)
 
 
 def op2_line_crf(spark, sf_dir):
@@ -70,4 +75,4 @@ def op10_clips(spark, sf_dir):
     return media.clips(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_line_crf, op2_line_labels, op3_virtual_slots, op3_grown, op4_simhash, op5_warc_derivatives, op6_url_filter, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg, op10_clips)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op1_bigrams, op2_line_crf, op2_line_labels, op3_virtual_slots, op3_grown, op4_simhash, op5_warc_derivatives, op6_url_filter, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_motion_jpeg, op10_clips)}
