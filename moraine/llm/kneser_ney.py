@@ -51,7 +51,7 @@ OVERLAP = 5
 #: Tokens of a chunk, bytes of text that are tokenised at once, and bytes of text to a shard; shards are MOST_SHARDS at most.
 CHUNK = 1_000_000
 PIECE_BYTES = 2_000_000
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 8_000_000
 MOST_SHARDS = 50_000
 #: Hashes of the marks before and after a text; words have larger ones.
 BEGIN, END = np.uint64(0), np.uint64(1)
@@ -513,11 +513,11 @@ def _count_level(model: Model, chunks: DataFrame, n: int, k: int, path: str) ->
         h = hash_of(a, b)
         by = np.argsort(h)
         at = firsts(h[by])
-        counts = np.diff(np.append(at, len(h)))
-        a, b, h = a[by][at], b[by][at], h[by][at]
+        counts, by = np.diff(np.append(at, len(h))), by[at]
+        a, b, h = a[by], b[by], h[by]
         if not top:  # below the highest order only n-grams that begin a text have a count of their own
             starts = (np.repeat(chunk.begins, chunk.sizes) + chunk.offset)[i] == k - 1
-            counts = np.where(starts[by][at], counts, 0)
+            counts = np.where(starts[by], counts, 0)
         shard = by_range(h, n)
         by = np.argsort((shard << 48) | a)
         return dealt(shard[by], "gram", a[by].astype(np.uint64), least_width(b[by]), counts[by])
@@ -526,10 +526,10 @@ def _count_level(model: Model, chunks: DataFrame, n: int, k: int, path: str) ->
         a, b, c = (of_kind(rows, "gram", x) for x in "abc")
         h = hash_of(a, b)
         by = np.argsort(h)
-        h = h[by]
-        at = firsts(h)
+        at = firsts(h[by])
         c = np.add.reduceat(c[by].astype(np.int64), at) if len(at) else c.astype(np.int64)
-        a, b, h = a[by][at], b[by][at], h[at]
+        by = by[at]
+        a, b, h = a[by], b[by], h[by]
         put_keys(f"{path}/keys{k}-{shard}", h, shard, n)
         put_small(f"{path}/{'c' if top else 'own'}{k}-{shard}", c)
         if not top:
