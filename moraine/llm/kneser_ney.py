@@ -49,7 +49,7 @@ ORDER = 2
 #: Tokens kept before a part of a text, so the highest order is one more.
 OVERLAP = 5
 #: Tokens of a chunk, bytes of text that are tokenised at once, and bytes of text to a shard; shards are MOST_SHARDS at most.
-CHUNK = 1_000_000
+CHUNK = 1_500_000
 PIECE_BYTES = 2_000_000
 SHARD_BYTES = 8_000_000
 MOST_SHARDS = 50_000
@@ -496,7 +496,6 @@ def train(chunks: DataFrame, n_shards: int, order: int = ORDER) -> Model:
             for s in range(n):
                 remove(spark, f"{path}/context{k}-{s}")
                 remove(spark, f"{path}/own{k}-{s}")
-                remove(spark, f"{path}/own{k}-{s}-large")
     release(spark)
     return model
 
@@ -531,9 +530,12 @@ def _count_level(model: Model, chunks: DataFrame, n: int, k: int, path: str) ->
         by = by[at]
         a, b, h = a[by], b[by], h[by]
         put_keys(f"{path}/keys{k}-{shard}", h, shard, n)
-        put_small(f"{path}/{'c' if top else 'own'}{k}-{shard}", c)
-        if not top:
-            put_bytes(f"{path}/context{k}-{shard}", pack(a, False))
+        if top:
+            put_small(f"{path}/c{k}-{shard}", c)
+        else:
+            own = np.flatnonzero(c)
+            put_bytes(f"{path}/own{k}-{shard}", np.stack([own, c[own]]).astype("<i8").tobytes())
+            put_bytes(f"{path}/context{k}-{shard}", pack(least_width(a), False))
         out = (_follow(below, a, c) if top else []) + _left(below, b)
         return [*out, (-1 - shard, "sums", None, None, None, [len(h), *_of_counts(c)])]
 
@@ -556,8 +558,9 @@ def _spread(model: Model, rows: DataFrame, n: int, k: int, path: str) -> DataFra
         np.add.at(f, of_kind(found, "follow", "a").astype(np.int64) - base, of_kind(found, "follow", "c").astype(np.int64).reshape(-1, 4))
         out = []
         if k > 1:
-            c += level.small("own", shard, np.arange(size)) if size else 0
-            out = _follow(below, unpack(bytes(level.array("context", shard, np.uint8))), c) if size else []
+            at, own = level.array("own", shard, "<i8").reshape(2, -1)
+            c[at] += own
+            out = _follow(below, unpack(bytes(level.array("context", shard, np.uint8))).astype(np.uint64), c) if size else []
         put_small(f"{path}/c{k}-{shard}", c)
         put_small(f"{path}/f{k}-{shard}", f.reshape(-1))
         return [*out, (-1 - shard, "sums", None, None, None, [size, *_of_counts(c)])]
