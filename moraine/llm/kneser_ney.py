@@ -49,7 +49,7 @@ ORDER = 2
 #: Tokens kept before a part of a text, so the highest order is one more.
 OVERLAP = 5
 #: Tokens of a chunk, bytes of text that are tokenised at once, and bytes of text to a shard; shards are MOST_SHARDS at most.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 PIECE_BYTES = 2_000_000
 SHARD_BYTES = 8_000_000
 MOST_SHARDS = 50_000
@@ -342,7 +342,7 @@ class Model:
 class Chunk:
     """Tokens of parts of texts, one after the other.
 
-    ``words``: distinct hashes, sorted; ``codes``: the tokens as places in them;
+    ``words``: distinct hashes; ``codes``: the tokens as places in them;
     by part: ``sizes`` (tokens), ``skips`` (leading ones that are there for what follows),
     ``begins`` (place in its text of the first).
     """
@@ -375,10 +375,14 @@ def tokenized(docs: DataFrame, learn: Column, chunk: int = CHUNK, piece_bytes: i
         parts, n, id_type = [], 0, pa.int64()
 
         def flush():
-            words, codes = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+            words, codes, counts = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True, return_counts=True)
+            by = np.argsort(-counts, kind="stable")  # frequent words have small codes, which pack better
+            words, place = words[by], np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            codes = place[codes]
             one = lambda x, t: pa.array([x], pa.list_(t))
             cols = [one([p[0] for p in parts], pa.int64()), one([p[1] for p in parts], id_type), one([p[2] for p in parts], pa.bool_()), one([len(p[3]) for p in parts], pa.int32()), one([p[4] for p in parts], pa.int32()), one([p[5] for p in parts], pa.int64())]
-            cols += [pa.array([pack(words)], pa.binary()), pa.array([pack(least_width(codes), False)], pa.binary())]
+            cols += [pa.array([pack(words, False)], pa.binary()), pa.array([pack(least_width(codes), False)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["rows", "doc_ids", "learn", "sizes", "skips", "begins", "words", "codes"])
 
         for batch in batches:
@@ -469,8 +473,9 @@ def train(chunks: DataFrame, n_shards: int, order: int = ORDER) -> Model:
     def words(chunk: Chunk):
         counts = np.bincount(chunk.codes[chunk.own], minlength=len(chunk.words))
         seen = (counts > 0) | (chunk.words == BEGIN)
-        keys = chunk.words[seen]
-        return dealt(by_range(keys, n), "word", keys, None, counts[seen])
+        keys, counts = chunk.words[seen], counts[seen]
+        by = np.argsort(keys)
+        return dealt(by_range(keys[by], n), "word", keys[by], None, counts[by])
 
     def merge_words(shard, rows):
         keys, counts = summed(of_kind(rows, "word", "a"), of_kind(rows, "word", "c").astype(np.int64))
