@@ -55,6 +55,8 @@ SHARD_BYTES = 8_000_000
 MOST_SHARDS = 50_000
 #: Hashes of the marks before and after a text; words have larger ones.
 BEGIN, END = np.uint64(0), np.uint64(1)
+#: Tokens whose n-grams are looked up at once.
+LOOKUP = 250_000
 #: Entries of a bucket of n-gram hashes, and arrays that a worker keeps mapped.
 BUCKET = 6
 MOST_MAPS = 20_000
@@ -242,6 +244,12 @@ class Level:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks, -1 where there is no such n-gram."""
+        out = np.empty(len(hashes), np.int64)
+        for at in range(0, len(hashes), LOOKUP):
+            out[at : at + LOOKUP] = self._find(hashes[at : at + LOOKUP])
+        return out
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(hashes, return_inverse=True)
         out = np.full(len(distinct), -1, np.int64)
         edges = np.searchsorted(by_range(distinct, self.n), np.arange(self.n + 1))
@@ -319,21 +327,26 @@ class Model:
 
     def log10(self, first: np.ndarray, chunk: Chunk) -> np.ndarray:
         """log10 P of the token at each place given those before it."""
-        ranks = self.ranks(first, chunk, self.order)
         p = np.full(len(first), 1.0 / (self.v + 1))
         if not self.tokens:
             return np.log10(p)
+        ranks = self.ranks(first, chunk, self.order)
+        for begin in range(0, len(first), LOOKUP):
+            self._blend(p, ranks, chunk.offset, begin, min(begin + LOOKUP, len(first)))
+        return np.log10(p, out=p)
+
+    def _blend(self, p: np.ndarray, ranks: list[np.ndarray], offset: np.ndarray, begin: int, end: int) -> None:
+        """Makes the uniform p of places begin to end that of the highest order, order by order."""
         for k, r in enumerate(ranks, 1):
-            c, d = self.levels[k - 1].values("c", r)[:, 0], self.discounts[k]
+            i = begin + np.flatnonzero(offset[begin:end] >= k - 1)
+            c, d = self.levels[k - 1].values("c", r[i])[:, 0], self.discounts[k]
             less = c - d[np.minimum(c, 3)]
             if k == 1:
-                p = less / self.kinds + self.gap * p
+                p[i] = less / self.kinds + self.gap * p[i]
                 continue
-            i = chunk.ends(k)
             f = self.levels[k - 2].values("f", ranks[k - 2][i - 1], 4)
-            i, f = i[f[:, 0] > 0], f[f[:, 0] > 0]
-            p[i] = (less[i] + f[:, 1:] @ d[1:] * p[i]) / f[:, 0]
-        return np.log10(p)
+            on = f[:, 0] > 0
+            p[i[on]] = (less[on] + f[on, 1:] @ d[1:] * p[i[on]]) / f[on, 0]
 
 
 # Chunks of tokens ---------------------------------------------------------------------------------

@@ -83,6 +83,17 @@ def test_scores_by_hand(spark, order, shard_bytes, chunk, piece_bytes):
         assert r.perplexity == pytest.approx(10 ** (-r.score / len(w)))
 
 
+def test_lookups_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string").coalesce(1)
+    chunks = K.tokenized(docs, docs.doc_id >= 0)
+    model = K.train(chunks, 3, 3)
+    one = next(K.chunk_rows(chunks.toArrow().to_batches()))[1]
+    first = model.levels[0].find(one.words)[one.codes]
+    want = model.log10(first, one)
+    monkeypatch.setattr(K, "LOOKUP", 17)
+    assert np.array_equal(model.log10(first, one), want) and np.array_equal(model.levels[0].find(one.words)[one.codes], first)
+
+
 def test_orders_and_empty_training(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert {(r.score, r.base_score, r.n_known, r.train_tokens) for r in K.report(docs, 3).collect()} == {(0.0, 0.0, 0, 0)}
