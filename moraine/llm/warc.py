@@ -57,8 +57,11 @@ def numeric_references(x: Column) -> Column:
         known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0))))
-    return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, lambda text, ref: F.replace(text, ref, character(ref)))).otherwise(x)
+    def read(t: Column) -> Column:
+        found = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, lambda text, ref: F.replace(text, ref, character(ref)))).otherwise(t)
+
+    return F.get(F.transform(F.array(x), read), F.lit(0))  # x is made once, though it is looked at three times
 
 
 def html_to_text(html: Column) -> Column:
@@ -72,7 +75,7 @@ def html_to_text(html: Column) -> Column:
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(x, F.lit(" \n"))
 
 
 def responses(pages: DataFrame) -> DataFrame:
