@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +74,21 @@ def to_uint_sat(x: Column, bits: int) -> Column:
     return F.when(F.isnan(x) | (x <= 0), F.lit("0").cast("decimal(20,0)")).when(x >= float(top), F.lit(str(top)).cast("decimal(20,0)")).otherwise(F.floor(inside).cast("decimal(20,0)"))
 
 
+def _fma(a: float, b: float, c: float) -> float:
+    try:
+        return math.fma(a, b, c)
+    except ValueError:  # an infinity times zero, or infinities of both signs
+        return NAN
+    except OverflowError:
+        return INF if (math.copysign(1, a) == math.copysign(1, b)) else -INF
+
+
+_FMA = F.arrow_udf(lambda a, b, c: pa.array([None if None in x else _fma(*x) for x in zip(a.to_pylist(), b.to_pylist(), c.to_pylist())], pa.float64()), T.DoubleType())
+
+
 def fma(a, b, c):
-    """Rounds twice: Spark has no fused operation."""
-    return a * b + c
+    """a * b + c, rounded once; Spark has no fused operation, so it is done by Arrow batches in workers."""
+    return _FMA(a.cast("double"), b.cast("double"), c.cast("double"))
 
 
 def from_uint(x: Column, bits: int) -> Column:
@@ -83,19 +97,16 @@ def from_uint(x: Column, bits: int) -> Column:
 
 
 def bitcast(x: Column, to: str) -> Column:
-    """The same bits as another type of that width: bigint and double, int and float."""
-    f, was, zero = _BITCASTS[to]
-    out = f(F.coalesce(x.cast(was), F.lit(zero).cast(was)))
-    # pandas gives NaN back as null
-    return F.when(x.isNotNull(), F.coalesce(out, F.lit(NAN).cast(to)) if to in ("double", "float") else out)
+    """The same bits as another type of that width: bigint and double, int and float; Arrow buffers keep the payload of a NaN."""
+    f, was = _BITCASTS[to]
+    return f(x.cast(was))
 
 
-def _viewed(to: str):
-    # types, not their names: workers import this without a session
-    return F.pandas_udf(lambda s: pd.Series(s.to_numpy().view(to)), {"int64": T.LongType(), "int32": T.IntegerType(), "float64": T.DoubleType(), "float32": T.FloatType()}[to])
+def _viewed(to: pa.DataType, kind: T.DataType):
+    return F.arrow_udf(lambda a: a.view(to), kind)
 
 
-_BITCASTS = {"bigint": (_viewed("int64"), "double", 0.0), "int": (_viewed("int32"), "float", 0.0), "double": (_viewed("float64"), "bigint", 0), "float": (_viewed("float32"), "int", 0)}
+_BITCASTS = {"bigint": (_viewed(pa.int64(), T.LongType()), "double"), "int": (_viewed(pa.int32(), T.IntegerType()), "float"), "double": (_viewed(pa.float64(), T.DoubleType()), "bigint"), "float": (_viewed(pa.float32(), T.FloatType()), "int")}
 
 
 def fpromote(x):

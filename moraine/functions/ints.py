@@ -136,17 +136,17 @@ def rotr(x, n, bits):
     return rotl(x, F.lit(bits) - _amount(n, bits), bits)
 
 
-def binary(x: Column, bits: int) -> Column:
-    """The bits as text, first the highest."""
-    return F.lpad(F.bin(mask(x, bits)), bits, "0")
-
-
 def clz(x, bits):
-    return (F.lit(bits) - F.when(mask(x, bits) == 0, 0).otherwise(F.length(F.bin(mask(x, bits))))).cast("int")
+    """Ones are smeared below the highest; what is left are the zeros before it."""
+    m = mask(x, bits)
+    for n in (1, 2, 4, 8, 16, 32):
+        m = m.bitwiseOR(F.call_function("shiftrightunsigned", m, F.lit(n)))
+    return (F.lit(bits) - F.bit_count(m)).cast("int")
 
 
 def ctz(x, bits):
-    return F.when(mask(x, bits) == 0, bits).otherwise(bits - F.length(F.regexp_replace(binary(x, bits), "0+$", ""))).cast("int")
+    m, least = mask(x, bits), F.lit(-(2**63))
+    return F.when(m == 0, bits).when(m == least, 63).otherwise(F.bit_count(m.bitwiseAND(-m) - 1)).cast("int")
 
 
 def cls(x, bits):
@@ -158,17 +158,25 @@ def popcnt(x, bits):
     return F.bit_count(mask(x, bits))
 
 
-def _from_binary(text: Column, bits: int) -> Column:
-    return wrap(F.conv(text, 2, 10).cast(DEC), bits)
+# Every second bit, pair, nibble, byte, ...
+EVERY_OTHER = {1: 0x5555555555555555, 2: 0x3333333333333333, 4: 0x0F0F0F0F0F0F0F0F, 8: 0x00FF00FF00FF00FF, 16: 0x0000FFFF0000FFFF, 32: 0x00000000FFFFFFFF}
+
+
+def _swapped(x: Column, bits: int, steps: tuple) -> Column:
+    """Neighbouring groups of each size trade places; what was in the low bits is brought back down."""
+    m = mask(x, bits)
+    for n in steps:
+        half = F.lit(EVERY_OTHER[n])
+        m = F.call_function("shiftrightunsigned", m, F.lit(n)).bitwiseAND(half).bitwiseOR(F.call_function("shiftleft", m.bitwiseAND(half), F.lit(n)))
+    return sign(F.call_function("shiftrightunsigned", m, F.lit(64 - bits)), bits)
 
 
 def bitrev(x, bits):
-    return _from_binary(F.reverse(binary(x, bits)), bits)
+    return _swapped(x, bits, (1, 2, 4, 8, 16, 32))
 
 
 def bswap(x, bits):
-    digits = F.lpad(F.hex(mask(x, bits)), bits // 4, "0")
-    return wrap(F.conv(_reverse_bytes(digits), 16, 10).cast(DEC), bits)
+    return _swapped(x, bits, (8, 16, 32))
 
 
 def _reverse_bytes(digits: Column) -> Column:
@@ -190,10 +198,17 @@ def smulhi(a, b, bits):
 
 
 def umulhi(a, b, bits):
-    """Widths up to 32: a 64-bit unsigned product can have 39 digits."""
-    more = 2 * bits if bits < 32 else 64
-    p = unsigned(a, bits).cast(_kind(more)) * unsigned(b, bits).cast(_kind(more))
-    return wrap(((p - F.pmod(p, _two(bits, more))) / _two(bits, more)).cast(_kind(more)), bits)
+    """64 bits by four products of halves, as a whole product can have 39 digits."""
+    if bits < 64:
+        more = 2 * bits if bits < 32 else 64
+        p = unsigned(a, bits).cast(_kind(more)) * unsigned(b, bits).cast(_kind(more))
+        return wrap(((p - F.pmod(p, _two(bits, more))) / _two(bits, more)).cast(_kind(more)), bits)
+    two = _two(32, 64)
+    low = lambda x: (x % two).cast(DEC)
+    high = lambda x: _quotient(x, two, 64)
+    ua, ub = unsigned(a, 64), unsigned(b, 64)
+    middle = (high(ua) * low(ub)).cast(DEC) + (low(ua) * high(ub)).cast(DEC) + high((low(ua) * low(ub)).cast(DEC))
+    return wrap((high(ua) * high(ub)).cast(DEC) + high(middle.cast(DEC)), 64)
 
 
 def uadd_sat(a, b, bits):

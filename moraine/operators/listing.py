@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The list requests, the fields that they filter by, and whether they page.
@@ -61,7 +64,7 @@ def page(df: DataFrame, key: str, limit: int, token=None, sort_by: str | None =
     """
     by = [sort_by, key] if sort_by else [key]
     if token is not None:
-        token = token if isinstance(token, (tuple, list)) else (token,)
+        token = read_token(token) if isinstance(token, str) else token if isinstance(token, (tuple, list)) else (token,)
         beyond = F.lit(False)
         same = F.lit(True)
         for c, v in zip(by, token):
@@ -71,6 +74,27 @@ def page(df: DataFrame, key: str, limit: int, token=None, sort_by: str | None =
     return df.orderBy(*[F.asc(c) if order == "ASC" else F.desc(c) for c in by]).limit(limit)
 
 
+def read_token(token: str) -> tuple:
+    """The values in an opaque page token."""
+    return tuple(json.loads(base64.b64decode(token)).values())
+
+
+def with_tokens(df: DataFrame, key: str, limit: int, token=None, sort_by: str | None = None, order: str = "ASC") -> DataFrame:
+    """A page with ``place`` (from 1), ``next_token`` (null on the last page) and ``previous_token`` (where this page began; null on the first).
+
+    One row more than the page is looked at, so the window is over limit + 1 rows.
+    """
+    by = [sort_by, key] if sort_by else [key]
+    some = page(df, key, limit + 1, token, sort_by, order)
+    rank = Window.orderBy(*[F.asc(c) if order == "ASC" else F.desc(c) for c in by])
+    whole = Window.partitionBy(F.lit(1))
+    numbered = some.withColumn("place", F.row_number().over(rank))
+    opaque = F.base64(F.to_json(F.struct(*by)).cast("binary"))
+    last = F.max(F.when(F.col("place") == limit, opaque)).over(whole)
+    more = F.max("place").over(whole) > limit
+    return numbered.withColumn("next_token", F.when(more, last)).withColumn("previous_token", F.lit(token if isinstance(token, str) else None).cast("string")).filter(F.col("place") <= limit)
+
+
 def list_request(df: DataFrame, request: str, key: str, limit: int = 100, token=None, sort_by=None, order="ASC", **filters) -> DataFrame:
     """A listing by contract: only the contract's fields may filter, and only paging ones page."""
     fields, pages = CONTRACTS[request]
@@ -80,6 +104,17 @@ def list_request(df: DataFrame, request: str, key: str, limit: int = 100, token=
     return page(found, key, limit, token, SORT_KEYS.get(sort_by, sort_by), order) if pages else found
 
 
+def list_response(df: DataFrame, request: str, key: str, limit: int = 100, token: str | None = None, sort_by=None, order="ASC", **filters) -> DataFrame:
+    """A listing by contract with the tokens of the pages beside it; requests that don't page give all rows and no token."""
+    fields, pages = CONTRACTS[request]
+    if not pages:
+        none = F.lit(None).cast("string")
+        return list_request(df, request, key, **filters).withColumns({"place": F.row_number().over(Window.orderBy(key)), "next_token": none, "previous_token": none})
+    if extra := set(filters) - set(fields):
+        raise ValueError(f"{request} doesn't filter by {sorted(extra)}")
+    return with_tokens(equal_filters(df, **filters), key, limit, token, SORT_KEYS.get(sort_by, sort_by), order)
+
+
 def structured(df: DataFrame, text: str) -> DataFrame:
     """Rows that a SQL predicate over the columns selects."""
     return df.filter(F.expr(text))
@@ -95,15 +130,19 @@ def _quoted(q: str) -> str:
     return "".join(c if c.isalnum() or c == " " or ord(c) > 127 else "\\" + c for c in q)
 
 
+#: Patterns up to which filters become one predicate.
+MOST_PATTERNS = 1000
+
+
 def include_exclude(items: DataFrame, filters: DataFrame) -> DataFrame:
     """items (name, version) by filters (kind INCLUDE or EXCLUDE; name, pattern or null, version or null).
 
     A row stays if some INCLUDE fits and no EXCLUDE does.  Filters by exact
     name are equal-key joins; those by pattern are few and become one predicate.
     """
-    rows = [r.asDict() for r in filters.filter(F.col("pattern").isNotNull()).limit(1001).collect()]
-    if len(rows) > 1000:
-        raise ValueError("patterns are a short list")
+    rows = [r.asDict() for r in filters.filter(F.col("pattern").isNotNull()).limit(MOST_PATTERNS + 1).collect()]
+    if len(rows) > MOST_PATTERNS:
+        return _by_pattern_rows(items, filters)
     exact = filters.filter(F.col("name").isNotNull()).select("kind", F.col("name").alias("fname"), F.col("version").alias("fversion"))
 
     def fits(kind: str) -> Column:
@@ -122,6 +161,17 @@ def include_exclude(items: DataFrame, filters: DataFrame) -> DataFrame:
     return items.join(keyed("INCLUDE"), same, "left_semi").join(keyed("EXCLUDE"), same, "left_anti")
 
 
+def _by_pattern_rows(items: DataFrame, filters: DataFrame) -> DataFrame:
+    """The same for any number of patterns: each distinct name meets the filters as rows, which are no longer one predicate."""
+    names = items.select("name", "version").distinct()
+    f = filters.select("kind", F.col("name").alias("fname"), "pattern", F.col("version").alias("fversion"))
+    fits = F.coalesce(F.col("name") == F.col("fname"), F.lit(False)) | F.coalesce(F.expr("name rlike concat('^(?:', pattern, ')$')"), F.lit(False))
+    hit = names.join(f, fits & (F.col("fversion").isNull() | (F.col("version") == F.col("fversion"))))
+    judged = hit.groupBy("name", "version").agg(F.bool_or(F.col("kind") == "INCLUDE").alias("i"), F.bool_or(F.col("kind") == "EXCLUDE").alias("e"))
+    kept = judged.filter("i and not e").select(F.col("name").alias("kname"), F.col("version").alias("kversion"))
+    return items.join(kept, F.col("name").eqNullSafe(F.col("kname")) & F.col("version").eqNullSafe(F.col("kversion")), "left_semi")
+
+
 def in_range(c: Column, low, high) -> Column:
     return c.between(low, high)
 
@@ -138,7 +188,7 @@ def first_seen(df: DataFrame, fingerprint: str, at: str) -> DataFrame:
 
 
 def group_lists(df: DataFrame, key: str, pos: str, item: str) -> DataFrame:
-    """(key, items): lists in order of position."""
+    """(key, items): lists in order of position; a list is one value, so it is made by one task and has to fit into it."""
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, item))), lambda x: x[item]).alias("items"))
 
 

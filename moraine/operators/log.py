@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 #: Numbers that one task orders at most when looking for gaps.
 GAP_SPAN = 1_000_000
+#: Numbers of a span of the range join that finds what hosts lack.
+DELTA_SPAN = 100_000
 
 
 def slice_after(log: DataFrame, n: int) -> DataFrame:
     """Rows beyond the first n in order of seq; n over the count is an error.
 
-    Row numbers come from seq if it is dense and 1-based; else by an ordered offset.
+    Row numbers come from seq if its values are distinct and dense; else, as
+    where one is repeated, by an ordered offset.  The count is needed at once,
+    for the error.
     """
-    count, low, high = log.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
+    count, distinct, low, high = log.agg(F.count(F.lit(1)), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()
     if n > count:
         raise ValueError(f"the log has {count} rows, not {n}")
-    if count and high - low + 1 == count:
+    if count and distinct == count and high - low + 1 == count:
         return log.filter(F.col("seq") >= low + n).orderBy("seq")
     return log.orderBy("seq").offset(n)
 
@@ -42,16 +46,23 @@ def gaps(log: DataFrame, span: int = GAP_SPAN) -> DataFrame:
     return inside.union(between).select(F.col("seq").alias("after"), (F.col("next") - F.col("seq") - 1).alias("missing"))
 
 
-def deltas(hosts: DataFrame, log: DataFrame) -> DataFrame:
-    """(host, updates): log values after the host's deployment_id, in order.
+def delta_rows(hosts: DataFrame, log: DataFrame, span: int = DELTA_SPAN) -> DataFrame:
+    """(host, seq, value): a row for each log entry after the host's deployment_id; no row is as long as what a host lacks.
 
-    The range of a host becomes its numbers, so the join is by equal seq; a
-    host has as many rows as it lacks entries, which is what is delivered.
+    A range join by spans of the log: a host has a row for each span that it
+    lacks some of, spans are equal keys, and within them seq is compared.
     """
-    last = log.agg(F.max("seq").alias("last_seq"))
-    lacking = hosts.crossJoin(F.broadcast(last)).filter(F.col("deployment_id") < F.col("last_seq"))
-    numbers = lacking.select("host", F.explode(F.sequence(F.col("deployment_id") + 1, F.col("last_seq"))).alias("seq"))
-    got = numbers.join(log, "seq").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("u"))
+    part = lambda c: F.floor(c / span)
+    ends = log.agg(F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"))  # one row
+    lacking = hosts.crossJoin(F.broadcast(ends)).filter(F.col("deployment_id") < F.col("last_seq"))
+    begin = F.greatest(F.col("deployment_id") + 1, F.col("first_seq"))
+    spans = lacking.select("host", "deployment_id", F.explode(F.sequence(part(begin), part(F.col("last_seq")))).alias("part"))
+    return spans.join(log.select("seq", "value", part(F.col("seq")).alias("part")), "part").filter(F.col("seq") > F.col("deployment_id")).select("host", "seq", "value")
+
+
+def deltas(hosts: DataFrame, log: DataFrame, span: int = DELTA_SPAN) -> DataFrame:
+    """(host, updates): log values after the host's deployment_id, in order, as one message to each host; see ``delta_rows`` for long ones."""
+    got = delta_rows(hosts, log, span).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("u"))
     return hosts.select("host").join(got, "host", "left").select("host", F.coalesce(F.transform("u", lambda x: x["value"]), F.expr("cast(array() as array<bigint>)")).alias("updates"))
 
 

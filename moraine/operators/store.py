@@ -94,19 +94,49 @@ def prefix_list(base: DataFrame, prefix: list) -> DataFrame:
 
 
 def set_items(base: DataFrame, items: DataFrame, quota: int) -> DataFrame:
-    """Web storage: an item that alone is over the quota (bytes of key and value) raises and nothing is set."""
-    size = F.octet_length("key") + F.octet_length(F.col("value").cast("string"))
-    ok = items.withColumn("value", F.when(size <= quota, F.col("value")).otherwise(F.raise_error(F.lit("quota exceeded")).cast(items.schema["value"].dataType)))
-    return upsert(base, ok, ["key"])
+    """Web storage: if the whole store (bytes of its keys and values) would be over the quota it raises and nothing is set."""
+    after = upsert(base, items, ["key"])
+    size = F.octet_length("key") + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))
+    whole = after.agg(F.coalesce(F.sum(size), F.lit(0)).alias("whole"))  # one row
+    ok = F.when(F.col("whole") <= quota, F.col("value")).otherwise(F.raise_error(F.lit("quota exceeded")).cast(after.schema["value"].dataType))
+    return after.crossJoin(F.broadcast(whole)).withColumn("value", ok).drop("whole")
+
+
+def remove_items(base: DataFrame, keys: DataFrame) -> DataFrame:
+    return delete_many(base, keys, ["key"])
 
 
 def nth_key(base: DataFrame, n: int) -> DataFrame:
     return base.select("key").orderBy("key").offset(n).limit(1)
 
 
-def cache_match(cache: DataFrame, requests: DataFrame) -> DataFrame:
-    """Exact URL; null where nothing is cached."""
-    return requests.join(cache.withColumnRenamed("value", "response"), "url", "left")
+def cache_match(cache: DataFrame, requests: DataFrame, on: list[str] = ["url"]) -> DataFrame:
+    """Exact request; null where nothing is cached."""
+    return requests.join(cache.withColumnRenamed("value", "response"), on, "left")
+
+
+def cache_put(cache: DataFrame, responses: DataFrame, on: list[str] = ["url"]) -> DataFrame:
+    """A response replaces what was cached for its request."""
+    return upsert(cache, responses, on)
+
+
+def cache_delete(cache: DataFrame, requests: DataFrame, on: list[str] = ["url"]) -> DataFrame:
+    """(requests, deleted): whether there was something to delete; ``cache_after`` is the cache without it."""
+    return requests.join(cache.select(*on, F.lit(True).alias("d")).distinct(), on, "left").select(*on, F.coalesce("d", F.lit(False)).alias("deleted"))
+
+
+def cache_after(cache: DataFrame, requests: DataFrame, on: list[str] = ["url"]) -> DataFrame:
+    return delete_many(cache, requests, on)
+
+
+def get_all(config: DataFrame) -> DataFrame:
+    """Every (key, value) in key order."""
+    return config.select("key", "value").orderBy("key")
+
+
+def ddl_id(ddl: Column) -> Column:
+    """A table's id: SHA-256 of the statement that makes it, in hex."""
+    return F.sha2(ddl.cast("binary"), 256)
 
 
 def compare_and_set(base: DataFrame, swaps: DataFrame) -> DataFrame:

@@ -139,6 +139,44 @@ def scalar_bits(spark, sf_dir):
     )
 
 
+_U64, _S63 = "18446744073709551616", "9223372036854775808"
+_SIGNED = lambda x: f"cast(CASE WHEN {x} >= {_S63} THEN {x}::HUGEINT - {_U64} ELSE {x}::HUGEINT END AS bigint)"
+_BITS64 = lambda x: f"cast(cast({x} AS bit) AS varchar)"
+
+
+@query(f"""SELECT k, a, b, {_SIGNED(f"((ua + ub) % {_U64})")} AS iadd, {_SIGNED(f"((ua + {_U64}::UHUGEINT - ub) % {_U64})")} AS isub, {_SIGNED(f"((ua * ub) % {_U64}::UHUGEINT)")} AS imul, {_SIGNED(f"((ua * ub) // {_U64}::UHUGEINT)")} AS umulhi,
+cast((a::HUGEINT * b - (((a::HUGEINT * b) % {_U64} + {_U64}) % {_U64})) // {_U64} AS bigint) AS smulhi, {_SIGNED("(ua // ub)")} AS udiv, {_SIGNED("(ua % ub)")} AS urem, CASE WHEN ua <= ub THEN a ELSE b END AS umin, {_SIGNED(f"(CASE WHEN ua + ub >= {_U64} THEN {_U64}::UHUGEINT - 1 ELSE ua + ub END)")} AS uadd_sat,
+position('1' IN {_BITS64("a")}) - 1 AS clz, position('1' IN reverse({_BITS64("a")})) - 1 AS ctz, bit_count(a) AS popcnt, cast(cast(reverse({_BITS64("a")}) AS bit) AS bigint) AS bitrev,
+cast(cast(array_to_string(list_transform(range(8), lambda i: substr({_BITS64("a")}, cast(57 - 8 * i AS bigint), 8)), '') AS bit) AS bigint) AS bswap
+FROM (SELECT k, a, b, CASE WHEN a < 0 THEN a::HUGEINT + {_U64} ELSE a::HUGEINT END::UHUGEINT AS ua, CASE WHEN b < 0 THEN b::HUGEINT + {_U64} ELSE b::HUGEINT END::UHUGEINT AS ub FROM (SELECT k, {_SIGNED("x")} AS a, {_SIGNED("y")} AS b
+FROM (SELECT o_orderkey AS k, ((o_orderkey + 1)::HUGEINT * 11400714819323198485) % {_U64} AS x, ((o_custkey + 1)::HUGEINT * 13787848793156543929) % {_U64} AS y FROM orders)))""")
+def scalar_ints_wide(spark, sf_dir):
+    """The integer operators at 64 bits, over numbers spread over the whole range."""
+    spread = lambda c, m: ints.wrap((F.col(c) + 1).cast(ints.DEC) * F.lit(m).cast(ints.DEC), 64)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), spread("o_orderkey", "11400714819323198485").alias("a"), spread("o_custkey", "13787848793156543929").alias("b"))
+    a, b, w = F.col("a"), F.col("b"), 64
+    two = [getattr(ints, n)(a, b, w).cast("bigint").alias(n) for n in ("iadd", "isub", "imul", "umulhi", "smulhi", "udiv", "urem", "umin", "uadd_sat")]
+    return o.select("k", "a", "b", *two, *[getattr(ints, n)(a, w).cast("bigint").alias(n) for n in ("clz", "ctz", "popcnt", "bitrev", "bswap")])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * l_linenumber + round(l_extendedprice) AS fma FROM lineitem")
+def scalar_fused(spark, sf_dir):
+    """Fused multiply-add of numbers whose results are exact either way; tests have those that aren't."""
+    x = floats.fma(F.col("l_quantity"), F.col("l_linenumber"), F.round("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("fma"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*', 'g') AS starred, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS raised FROM part")
+def scalar_replaced(spark, sf_dir):
+    """replaceAll by a pattern, and with a function of the match."""
+    raised = codecs.replace_with(F.col("p_name"), "^.", _raise)
+    return _part(spark, sf_dir).select("p_partkey", F.regexp_replace("p_name", "[aeiou]", "*").alias("starred"), raised.alias("raised"))
+
+
+def _raise(m):
+    return m.group().upper()
+
+
 @query("""SELECT l_orderkey, l_linenumber, x + y AS fadd, x - y AS fsub, x * y AS fmul, CASE WHEN y = 0 AND x > 0 THEN 'Infinity'::double WHEN y = 0 AND x < 0 THEN '-Infinity'::double WHEN y = 0 THEN 'NaN'::double ELSE x / y END AS fdiv, -x AS fneg, abs(x) AS fabs, sqrt(abs(x)) AS root,
 ceil(x) AS ceil, floor(x) AS floor, trunc(x) AS trunc, round_even(x, 0) AS nearest, least(x, y) AS fmin, greatest(x, y) AS fmax, x < y AS lt, cast(greatest(-128, least(127, trunc(x))) AS bigint) AS to_s8, cast(greatest(0, least(255, trunc(x))) AS bigint) AS to_u8,
 cast(cast(x AS float) AS double) AS demoted FROM (SELECT l_orderkey, l_linenumber, l_quantity * 10.25 - 250.5 AS x, round(l_discount * 100) - 5 AS y FROM lineitem)""")
@@ -177,12 +215,6 @@ def page_product(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", F.when(n == 999, "NotFound").when(n % 2 == 0, "InStock(50)").otherwise("PreOrder").alias("stock"), F.array(n + 1, n + 2, n + 3).alias("related"))
 
 
-@query("""SELECT user_id AS stream_id, string_agg(props, '' ORDER BY event_id) AS text FROM events WHERE event_id % 20 = 0 GROUP BY 1""")
-def stream_consumers(spark, sf_dir):
-    chunks = table(spark, sf_dir, "events").filter("event_id % 20 = 0").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("props").cast("binary").alias("chunk"))
-    return blobs.consume(chunks).select("stream_id", "text")
-
-
 @query("""SELECT user_id AS stream_id, string_agg(props, '' ORDER BY event_id) AS text FROM events GROUP BY 1""")
 def stream_consumers_whole(spark, sf_dir):
     chunks = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("props").cast("binary").alias("chunk"))

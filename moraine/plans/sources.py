@@ -51,10 +51,46 @@ def source_replicate(spark, sf_dir):
     d = work_dir(spark, "replicas")
     spark.range(1).select(F.lit("ALPHA").alias("value")).write.text(f"{d}/source")
     blobs.replicate(spark, f"{d}/source/*.txt", [f"{d}/a", f"{d}/b"])
-    got = [spark.read.parquet(f"{d}/{t}").filter(F.octet_length("content") > 0).select(F.lit(t).alias("target"), F.regexp_replace(F.decode("content", "UTF-8"), "\n$", "").alias("text")) for t in ("a", "b")]
+    got = [spark.read.text(f"{d}/{t}").select(F.lit(t).alias("target"), F.col("value").alias("text")) for t in ("a", "b")]
     return got[0].union(got[1])
 
 
+@query("SELECT r_regionkey, r_name, t AS target FROM region, (SELECT unnest(['a', 'b']) AS t)")
+def source_replicated_tables(spark, sf_dir):
+    """Parquet files copied byte for byte are tables again."""
+    d = work_dir(spark, "replicated")
+    table(spark, sf_dir, "region").coalesce(1).write.parquet(f"{d}/source")
+    blobs.replicate(spark, f"{d}/source/*.parquet", [f"{d}/a", f"{d}/b"])
+    got = [spark.read.parquet(f"{d}/{t}").select("r_regionkey", "r_name", F.lit(t).alias("target")) for t in ("a", "b")]
+    return got[0].union(got[1])
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def source_file_copied(spark, sf_dir):
+    """A file through a stream to another."""
+    d = work_dir(spark, "copied")
+    table(spark, sf_dir, "region").coalesce(1).write.parquet(f"{d}/source")
+    for r in spark.read.format("binaryFile").load(f"{d}/source/*.parquet").select("path").collect():
+        blobs.copy_file(r["path"], f"{d}/copy/{r['path'].rsplit('/', 1)[1]}")
+    return spark.read.parquet(f"{d}/copy").select("r_regionkey", "r_name")
+
+
+HOSTS, HOSTS_PER_PAGE = 30, 7
+
+
+def host_pages(name: str, token: str | None):
+    """30 hosts in pages of 7."""
+    begin = int(token or 0)
+    end = min(begin + HOSTS_PER_PAGE, HOSTS)
+    return [{"id": f"host-{i}", "ip": f"10.0.0.{i}", "role": None if i % 3 == 0 else "worker" if i % 3 == 1 else "leader"} for i in range(begin, end)], str(end) if end < HOSTS else None
+
+
+@query("SELECT 'host-' || i AS id, '10.0.0.' || i AS ip, CASE i % 3 WHEN 1 THEN 'worker' WHEN 2 THEN 'leader' END AS role FROM range(30) r(i)")
+def source_hosts(spark, sf_dir):
+    spark.dataSource.register(paged.PagedSource)
+    return spark.read.format("paged").option("fetch", f"{__name__}:host_pages").option("lists", "hosts").option("schema", paged.HOSTS).load()
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY")
 def source_unexpired(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "created_at")

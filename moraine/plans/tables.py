@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -189,6 +191,13 @@ def catalog_register(spark, sf_dir):
     return fleet.register_code(d, n.select("code_id", F.lit("wasm").alias("kind")), codes)[0]
 
 
+@query("SELECT n_nationkey AS code_id, CASE WHEN n_nationkey < 5 THEN 'js' ELSE 'wasm' END AS kind FROM nation")
+def catalog_register_kinds(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "code_id")
+    d = n.select("code_id", F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("deployment_id"))
+    return fleet.register_code(d, n.select("code_id", F.lit("wasm").alias("kind")), n.filter("code_id < 5").select("code_id", F.lit("js").alias("kind")))[1]
+
+
 @query("SELECT event_type, CASE event_type WHEN 'view' THEN 'Good' WHEN 'signup' THEN 'GracefulShuttingDown' END AS status, count(*) AS n FROM events GROUP BY 1")
 def probe_status_case(spark, sf_dir):
     body = F.when(F.col("event_type") == "view", "good").when(F.col("event_type") == "signup", "graceful_shutting_down").otherwise("?")
@@ -256,7 +265,66 @@ def web_storage_key(spark, sf_dir):
 def cache_match(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     cache = p.filter("page_id % 3 = 0").groupBy("url", "page_id").agg(F.first(F.length("html").cast("bigint")).alias("value"))
-    return p.select("page_id", "url").join(cache.withColumnRenamed("value", "response"), ["page_id", "url"], "left")
+    return store.cache_match(cache, p.select("page_id", "url"), ["page_id", "url"])
+
+
+@query("SELECT c_name AS url, CASE WHEN c_custkey % 2 = 0 THEN -c_custkey ELSE c_custkey END AS value FROM customer WHERE c_custkey % 5 <> 0")
+def cache_put_delete(spark, sf_dir):
+    cache = kv(spark, sf_dir).withColumnRenamed("key", "url")
+    put = store.cache_put(cache, cache.filter("value % 2 = 0").withColumn("value", -F.col("value")))
+    return store.cache_after(put, cache.filter("value % 5 = 0").select("url"))
+
+
+@query("SELECT c_name AS url, c_custkey % 5 <> 0 AS deleted FROM customer")
+def cache_deleted(spark, sf_dir):
+    cache = kv(spark, sf_dir).withColumnRenamed("key", "url")
+    return store.cache_delete(cache.filter("value % 5 <> 0"), cache.select("url"))
+
+
+@query("SELECT c_name AS key, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE c_custkey END AS value FROM customer")
+def web_storage_set(spark, sf_dir):
+    base = kv(spark, sf_dir)
+    return store.set_items(base, base.filter("value % 2 = 0").withColumn("value", F.lit(7).cast("bigint")), 10**9)
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_custkey % 4 <> 1")
+def web_storage_remove(spark, sf_dir):
+    base = kv(spark, sf_dir)
+    return store.remove_items(base, base.filter("value % 4 = 1"))
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer ORDER BY key")
+def config_get_all(spark, sf_dir):
+    return store.get_all(kv(spark, sf_dir))
+
+
+@query("SELECT p_partkey, sha256('CREATE TABLE t' || p_partkey || ' (a INT)') AS id FROM part")
+def table_ddl_id(spark, sf_dir):
+    ddl = F.concat(F.lit("CREATE TABLE t"), F.col("p_partkey").cast("string"), F.lit(" (a INT)"))
+    return table(spark, sf_dir, "part").select("p_partkey", store.ddl_id(ddl).alias("id"))
+
+
+@query("SELECT p_partkey AS id, p_name AS displayName, p_size FROM part")
+def fields_renamed(spark, sf_dir):
+    from ..functions.codecs import fields
+
+    return fields(table(spark, sf_dir, "part"), {"p_partkey": "id", "p_name": "displayName"}, ["p_brand", "p_type", "p_retailprice"])
+
+
+@query("""SELECT n_nationkey AS host, o_orderkey + 1 AS seq, o_custkey AS value FROM nation JOIN orders ON o_orderkey + 1 > n_nationkey * (SELECT count(*) FROM orders) // 25""")
+def host_delta_rows(spark, sf_dir):
+    """Hosts from all along the log: what each lacks, as rows."""
+    rows = order_log(spark, sf_dir)
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    hosts = table(spark, sf_dir, "nation").crossJoin(F.broadcast(n)).select(F.col("n_nationkey").alias("host"), F.expr("n_nationkey * n div 25").alias("deployment_id"))
+    return log.delta_rows(hosts, rows, 400)
+
+
+@query("""WITH l AS (SELECT o_orderkey // 3 AS seq, o_orderkey AS value FROM orders) SELECT seq, count(*) AS n FROM (SELECT seq FROM l ORDER BY seq OFFSET 301) GROUP BY 1""")
+def log_slice_repeated(spark, sf_dir):
+    """A log whose numbers repeat is sliced by its order."""
+    rows = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3").alias("seq"), F.col("o_orderkey").alias("value"))
+    return log.slice_after(rows, 301).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND (o_orderdate, o_orderkey) < (TIMESTAMP '1998-01-01', 500) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
@@ -273,6 +341,67 @@ def list_contract_page(spark, sf_dir):
     return listing.list_request(rows, "list_drg_route_rules", "o_orderkey", 30, (100,), route_type="P").select("o_orderkey")
 
 
+_RESOURCE = "SELECT p_partkey AS id, p_size % 3 AS filter1, p_brand AS filter2, p_retailprice AS time_created, p_name AS display_name, p_type AS module_name, p_brand AS name FROM part"
+LISTED_PAGE = 9
+
+
+def resources(spark, sf_dir):
+    """part as listed resources: two fields that requests filter by, and what they sort by."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("filter1"), F.col("p_brand").alias("filter2"), F.col("p_retailprice").alias("time_created"), F.col("p_name").alias("display_name"), F.col("p_type").alias("module_name"), F.col("p_brand").alias("name")
+    )
+
+
+def _contract_sql() -> str:
+    parts = []
+    for request, (fields, pages) in sorted(listing.CONTRACTS.items()):
+        where = " AND ".join(f"{c} = {v}" for c, v in zip(("filter1", "filter2"), ("1", "'Brand#12'")[: len(fields)])) or "true"
+        rows = f"SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS n FROM r WHERE {where}" + (" AND id > 20" if pages else "")
+        token = f"""CASE WHEN n > {LISTED_PAGE} THEN to_base64(encode('{{"id":' || (SELECT id FROM ({rows}) WHERE place = {LISTED_PAGE}) || '}}')) END""" if pages else "NULL"
+        parts.append(f"SELECT '{request}' AS request, id, place, {token} AS next_token FROM ({rows})" + (f" WHERE place <= {LISTED_PAGE}" if pages else ""))
+    return f"WITH r AS ({_RESOURCE}) " + " UNION ALL ".join(parts)
+
+
+@query(_contract_sql())
+def list_contracts(spark, sf_dir):
+    """Every list request, filtered by all its fields, a page beyond an opaque token, with the token of the next."""
+    out, begin = None, base64.b64encode(b'{"id":20}').decode()
+    for request, (fields, pages) in sorted(listing.CONTRACTS.items()):
+        named = resources(spark, sf_dir).withColumnsRenamed(dict(zip(("filter1", "filter2"), fields)))
+        got = listing.list_response(named, request, "id", LISTED_PAGE, begin if pages else None, **dict(zip(fields, (1, "Brand#12"))))
+        got = got.select(F.lit(request).alias("request"), "id", F.col("place").cast("bigint").alias("place"), "next_token")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(f"WITH r AS ({_RESOURCE}) " + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{by}' AS sort_by, '{order}' AS sort_order, id, row_number() OVER (ORDER BY {c} {order}, id {order}) AS place FROM r) WHERE place <= {LISTED_PAGE}" for by, c in listing.SORT_KEYS.items() for order in ("ASC", "DESC")
+))
+def list_sort_keys(spark, sf_dir):
+    """Every sort key in either order."""
+    out = None
+    for by in listing.SORT_KEYS:
+        for order in ("ASC", "DESC"):
+            got = listing.list_response(resources(spark, sf_dir), "list_services", "id", LISTED_PAGE, None, by, order)
+            got = got.select(F.lit(by).alias("sort_by"), F.lit(order).alias("sort_order"), "id", F.col("place").cast("bigint").alias("place"))
+            out = got if out is None else out.union(got)
+    return out
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey")
+def list_all_pages(spark, sf_dir):
+    """A listing followed page by page until there is no next token; pages are of a third of it, so three requests or four are made."""
+    rows, token, out = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), None, None
+    size = max(1, rows.count() // 3)
+    while True:
+        got = listing.with_tokens(rows, "o_orderkey", size, token)
+        out = got.select("o_orderkey") if out is None else out.union(got.select("o_orderkey"))
+        last = got.select("next_token").limit(1).first()
+        token = last["next_token"] if last else None
+        if token is None:
+            return out
+
+
 @query("SELECT 'ALL' AS f, count(*) AS n FROM orders UNION ALL SELECT 'F', count(*) FROM orders WHERE o_orderstatus = 'F'")
 def list_enum_all(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -322,12 +451,6 @@ def event_first_seen(spark, sf_dir):
     return listing.first_seen(table(spark, sf_dir, "events"), "props", "ts")
 
 
-@query("SELECT event_type, list(event_id ORDER BY event_id) AS items FROM events WHERE event_id % 50 = 0 GROUP BY 1")
-def group_to_lists(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0").withColumn("pos", F.col("event_id"))
-    return listing.group_lists(e, "event_type", "pos", "event_id")
-
-
 @query("SELECT event_type, list(event_id ORDER BY event_id) AS items FROM events GROUP BY 1")
 def group_to_lists_whole(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("pos", F.col("event_id"))

@@ -12,6 +12,8 @@ import importlib
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGES_AT_MOST = 1_000_000
+#: What a host provider lists.
+HOSTS = "id string, ip string, role string"
 
 
 class _List(InputPartition):
@@ -46,7 +48,8 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self):
-        return "id string, name string"
+        """That of the option of this name, such as HOSTS, else id and name."""
+        return self.options.get("schema", "id string, name string")
 
     def reader(self, schema):
         return PagedReader(self.options, schema)

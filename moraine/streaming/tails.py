@@ -56,6 +56,58 @@ def heartbeat_status(beats: DataFrame) -> DataFrame:
     return beats.groupBy("host").transformWithStateInPandas(Heartbeats(), "host long, last_us long, beats long, dead boolean", "append", "none")
 
 
+#: The watermark stays behind the latest heartbeat by this, as rows that aren't beyond it are dropped; timers are set as much earlier.
+BEHIND_MS = 1
+EVICTED = "host long, last_us long, died_us long"
+
+
+class Reaper(StatefulProcessor):
+    """Per host the last heartbeat; a row when it has been silent for the timeout.
+
+    A timer runs for each host and fires as the stream's clock (the watermark)
+    passes the timeout, also in batches that have no row of the host.  A gap
+    between two heartbeats that is as long is found as they come, so what is
+    evicted doesn't depend on how rows fall into batches.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        times = sorted(t for pdf in rows for t in pdf["at_us"].tolist())
+        kept = self.last.get() if self.last.exists() else None
+        times = [kept[0], *(t for t in times if t > kept[0])] if kept else times
+        gone = [a for a, b in zip(times, times[1:]) if b - a >= TIMEOUT_US]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update((times[-1],))
+        self.handle.registerTimer(-(-(times[-1] + TIMEOUT_US) // 1000) - BEHIND_MS)
+        yield self._rows(key, gone)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield self._rows(key, [last])
+
+    @staticmethod
+    def _rows(key, gone: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]] * len(gone), "last_us": gone, "died_us": [t + TIMEOUT_US for t in gone]}, columns=["host", "last_us", "died_us"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def reaped(beats: DataFrame) -> DataFrame:
+    """(host, last_us, died_us) of a stream (host, received_at): hosts that fell silent for the timeout, also those that never come back.
+
+    Rows come in the order of time but for those of one batch; the clock is the
+    latest heartbeat of any host in the batches before.
+    """
+    timed = beats.select("host", F.col("received_at").cast("timestamp").alias("received_at")).withWatermark("received_at", f"{BEHIND_MS} milliseconds").withColumn("at_us", F.unix_micros("received_at"))
+    return timed.groupBy("host").transformWithStateInPandas(Reaper(), EVICTED, "append", "EventTime")
+
+
 def route_letters(messages: DataFrame, fails, dead_keys: list[str], attempts: int = ATTEMPTS) -> DataFrame:
     """(key, value, attempts): what ``fails`` (a predicate by attempt number) lets through goes to 'delivered', else to every dead-letter key."""
     tries = F.sequence(F.lit(1), F.lit(attempts))
@@ -90,6 +142,67 @@ def with_gauges(df: DataFrame, observation, **gauges) -> DataFrame:
     return df.observe(observation, *[c.alias(name) for name, c in gauges.items()])
 
 
+def retried(handler, backoff_ms: tuple, dead_letters=()):
+    """A batch handler that tries again after each pause and then writes the batch to the dead-letter folders."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        for pause in (*backoff_ms, None):
+            try:
+                return handler(df, batch)
+            except Exception:  # the schedule decides what an error means
+                if pause is None and not dead_letters:
+                    raise
+                if pause is not None:
+                    time.sleep(pause / 1000)
+        for folder in dead_letters:
+            df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return run
+
+
+def watch(stream: DataFrame, on_set, on_delete, checkpoint: str, timeout_s: int = 120) -> None:
+    """Calls on_set(rows, batch) and on_delete(rows, batch) for the changes (key, change, value) of a stream, a batch at a time."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        df = df.persist()  # two readers of one batch
+        try:
+            for kind, call in (("set", on_set), ("delete", on_delete)):
+                call(df.filter(F.col("change") == kind), batch)
+        finally:
+            df.unpersist()
+
+    _finish(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start(), timeout_s)
+
+
+def tee(stream: DataFrame, sinks: dict[str, object], path: str, checkpoint: str, timeout_s: int = 120) -> None:
+    """One stream to several sinks: each batch, read once, goes through every transformation of ``sinks`` (name: function) to path/name."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        try:
+            for name, f in sinks.items():
+                f(df).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        finally:
+            df.unpersist()
+
+    _finish(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start(), timeout_s)
+
+
+def ready(queries: list) -> list[int]:
+    """Indices of the streaming queries that have ended or have no data to take; an empty list is an error."""
+    if not queries:
+        raise ValueError("no queries to poll")
+    return [i for i, q in enumerate(queries) if not q.isActive or not q.status["isDataAvailable"]]
+
+
+def _finish(q, timeout_s: int) -> None:
+    try:
+        if not q.awaitTermination(timeout_s):
+            raise TimeoutError("the stream didn't end")
+    finally:
+        q.stop()
+
+
 class Queue:
     """Messages in a folder of Parquet files; a listener's checkpoint keeps what was delivered.
 
@@ -109,9 +222,15 @@ class Queue:
         messages.write.mode("append").parquet(self.folder)
         return {"ok": True, "versionstamp": f"{time.time_ns():020x}"}
 
-    def listen(self, handler, timeout_s: int = 120) -> None:
-        """Gives (messages, batch number) to ``handler`` until all that is there was delivered; a batch may come again after a failure."""
+    def listen(self, handler, timeout_s: int = 120, backoff_ms: tuple = (), dead_letters=()) -> None:
+        """Gives (messages, batch number) to ``handler`` until all that is there was delivered; a batch may come again after a failure.
+
+        Where ``handler`` raises it is tried again after each of ``backoff_ms``;
+        once these are used up the messages go to every one of ``dead_letters``
+        (folders), in order, or the error ends the listener if there are none.
+        """
         self._open()
+        handler = handler if not backoff_ms and not dead_letters else retried(handler, backoff_ms, dead_letters)
         stream = self.spark.readStream.schema(self.schema).parquet(self.folder)
         q = stream.writeStream.option("checkpointLocation", self.state).foreachBatch(handler).trigger(availableNow=True).start()
         try:

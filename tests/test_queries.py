@@ -34,7 +34,6 @@ def test_entry(spark):
 
 
 def test_whole_queries_take_every_event(spark):
-    """The queries without `_whole` keep the id subsets of their SQL."""
     events = spark.read.parquet(f"{DATA}/events.parquet")
     n = events.count()
     assert sum(len(r["items"]) for r in plans.QUERIES["group_to_lists_whole"](spark, DATA).collect()) == n
