@@ -89,6 +89,24 @@ def bloom(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
     return x.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), n_blocks
 
 
+def maybe_in(df: DataFrame, key: str, names: DataFrame, n_names: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``names`` (a column of that name): all that are, and few others.
+
+    The blocks are broadcast and BROADCAST_ROWS at most; of more names than fill
+    these, more other rows pass.
+    """
+    k = F.col(key)
+    most = BROADCAST_ROWS * 64 * WORDS // BITS_PER_URL
+    blocks, n_blocks = bloom(names.select(k.alias("url")), min(n_names, most))
+    marks = blocks.select(*[F.col(c).alias(f"bloom_{c}") for c in blocks.columns])
+    probed = df.join(F.broadcast(marks), _block(k, n_blocks) == F.col("bloom_block"))
+    return probed.filter(_all_set(k, "bloom_")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _all_set(url: Column, prefix: str = "") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{prefix}w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(url))])
+
+
 def hits(urls: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(maybe, exact): the distinct ``canonical_url`` of ``urls`` that the filter passes, and those of them that are in ``listed`` (column url, canonical).
 
@@ -102,7 +120,7 @@ def hits(urls: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
         blocks = F.broadcast(blocks)
     c = F.col("canonical_url")
     probed = urls.select("canonical_url").filter(c != "").withColumn("block", _block(c, n_blocks)).join(blocks, "block")
-    maybe = probed.filter(reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(c))]))
+    maybe = probed.filter(_all_set(c))
     maybe = materialize(maybe.select("canonical_url").distinct(), "url-hits")
     return maybe, maybe.join(listed, F.col("canonical_url") == F.col("url"), "left_semi")
 

@@ -60,3 +60,18 @@ def test_distant_texts_of_a_crowded_bucket_are_compared_beyond_its_least(spark):
     rows = list(enumerate(texts))
     found = {r.doc_id: r.component for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(found.values())) == len(brute_kept(rows))
+
+
+def test_filter_before_the_exact_join(spark, monkeypatch):
+    """All rows that are named pass, and few others; with more names than its blocks are for, more others."""
+    from pyspark.sql import functions as F
+
+    from moraine.llm import urls
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("t"), F.col("id").alias("a.b"))
+    names = spark.range(2000).select(F.xxhash64("id").alias("t"))
+    got = urls.maybe_in(rows, "t", names, 2000)
+    assert got.columns == ["t", "a.b"] and got.join(names, "t", "left_semi").count() == 2000 and got.count() < 2500
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 2)
+    assert urls.maybe_in(rows, "t", names, 2000).join(names, "t", "left_semi").count() == 2000
+    assert urls.maybe_in(rows, "t", names.limit(0), 0).count() == 0
