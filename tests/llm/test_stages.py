@@ -70,3 +70,27 @@ def test_run_over_clashing_names(spark, tmp_path):
     for _, stage in pipeline.STAGES[:-1]:
         columns, seen = seen.columns, stage(spark, seen, f"file://{tmp_path}")
         assert seen.columns == columns
+
+
+def test_a_segment_of_more_than_heavy_fingerprints(spark):
+    """Over 1,024 distinct fingerprints of one segment, so that links go by midpoints, against all pairs."""
+    import numpy as np
+
+    from moraine.llm import components
+
+    rng = np.random.default_rng(6)
+    low, centres = int(rng.integers(1, 2**32)), rng.integers(0, 2**32, 150, np.uint64)
+    highs = {int(c) ^ sum(1 << int(b) for b in rng.choice(32, int(rng.integers(0, 6)), replace=False)) for c in centres for _ in range(10)}
+    prints = np.array(sorted(h << 32 | low for h in highs), np.uint64)
+    assert len(prints) > simhash.HEAVY
+    root = np.arange(len(prints))
+    for i in range(len(prints)):  # the least index that is linked, until nothing changes
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= simhash.DISTANCE)
+        for r in {int(root[j]) for j in near}:
+            root[root == r] = min(int(root[j]) for j in near)
+    found = components.components(simhash.links(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")))
+    got = {r.node & (2**64 - 1): r.component for r in found.collect()}
+    groups = {}
+    for x, r in zip(prints.tolist(), root.tolist()):
+        groups.setdefault(r, set()).add(got.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups) > 100
