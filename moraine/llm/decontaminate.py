@@ -14,7 +14,8 @@ makes no task larger than its segment.
 
 Defined results: a null or empty text has no words and is in no match; an item
 without words has no window, one of under WINDOW words is one window; items
-that share an id count once; repeated rows are each reported; empty tables give
+that share an id count once, and a window that several have is looked for once;
+of equally rare terms the first goes first; repeated rows are each reported; empty tables give
 an empty result (documents) or no hits (items); texts of any length are indexed
 whole, in a segment of their own if need be; further columns pass through
 ``drop_contaminated``.
