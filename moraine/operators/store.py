@@ -176,5 +176,17 @@ def create_table(spark, name: str, location: str | None = None) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (pk BINARY, sk BINARY, value BINARY) USING parquet{where}")
 
 
+def attach(spark, name: str, tables: dict[str, str]) -> None:
+    """A second schema of that name whose tables are Parquet files elsewhere; what is attached already stays."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    for table, path in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}`.`{table}` USING parquet LOCATION '{path}'")
+
+
+def detach(spark, name: str) -> None:
+    """The schema goes; the files of its tables stay."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+
+
 def drop_table(spark, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -30,6 +30,16 @@ def source_config(spark, sf_dir):
     return blobs.read_config(spark, path, T.StructType([T.StructField("region", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
+@query("SELECT r_name AS key, CASE WHEN r_regionkey = 1 THEN 'overlaid' ELSE cast(r_regionkey AS varchar) END AS value FROM region")
+def source_env(spark, sf_dir):
+    """Settings of a base file with a mode's over them."""
+    rows = table(spark, sf_dir, "region").collect()  # settings are a few lines
+    base = "# regions\n" + "\n".join(f'export {r["r_name"]}="{r["r_regionkey"]}"' for r in rows)
+    overlay = "\n".join(f'{r["r_name"]} = overlaid' for r in rows if r["r_regionkey"] == 1)
+    found = blobs.load_env(base, overlay, [r["r_name"] for r in rows])
+    return spark.createDataFrame(sorted(found.items()), "key string, value string")
+
+
 LISTED, PER_PAGE = 25, 10
 
 

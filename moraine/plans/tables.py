@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -483,8 +485,44 @@ def sql_get_bound(spark, sf_dir):
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sql_attached(spark, sf_dir):
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return spark.sql("SELECT n_name, r_name FROM {a} JOIN {b} ON n_regionkey = r_regionkey", a=nation, b=region)
+    """A table of the session's own with one of an attached schema, by its qualified name."""
+    name = f"attached_{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    store.attach(spark, name, {"region": f"{sf_dir}/region.parquet"})
+    return spark.sql(f"SELECT n_name, r_name FROM {{nation}} JOIN `{name}`.region ON n_regionkey = r_regionkey", nation=table(spark, sf_dir, "nation"))
+
+
+@query("SELECT event_type AS pk, event_id AS sk, props AS value FROM events WHERE event_type = 'error'")
+def doc_table_created(spark, sf_dir):
+    """Rows put into a document table that is made for them, and read back from it."""
+    from .streams import work_dir
+
+    name = f"docs_{uuid.uuid4().hex}"
+    store.create_table(spark, name, work_dir(spark, "docs"))
+    rows = docs(spark, sf_dir).filter("pk = 'error'")
+    rows.select(F.col("pk").cast("binary"), F.col("sk").cast("string").cast("binary"), F.col("value").cast("binary")).write.insertInto(name)
+    back = spark.table(name).select(F.col("pk").cast("string"), F.col("sk").cast("string").cast("bigint"), F.col("value").cast("string"))
+    return back
+
+
+@query("SELECT 'region' AS name, '{ r_regionkey?: number; r_name?: string }' AS text, 0 AS required UNION ALL SELECT 'embeddings', '{ vec_id?: number; embedding?: number[]; label?: number }', 0")
+def schema_typescript(spark, sf_dir):
+    """Tables' schemas as TypeScript text, and how many of their fields are required."""
+    from ..functions.codecs import split_required, typescript
+
+    rows = [(t, typescript(s), len(split_required(s)[0])) for t in ("region", "embeddings") for s in [table(spark, sf_dir, t).schema]]
+    return spark.createDataFrame(rows, "name string, text string, required int")
+
+
+@query("SELECT count(*) AS hosts, max(event_id) AS last FROM events")
+def gauge_report(spark, sf_dir):
+    """Gauges of the rows that pass, reported beside what the rows are for."""
+    from pyspark.sql import Observation
+
+    from ..streaming import tails
+
+    seen = Observation("events")
+    tails.with_gauges(table(spark, sf_dir, "events"), seen, hosts=F.count(F.lit(1)), last=F.max("event_id")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["hosts"], seen.get["last"])], "hosts bigint, last bigint")
 
 
 @query("SELECT n_nationkey, n_name AS name FROM nation")
