@@ -244,20 +244,29 @@ class Level:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks, -1 where there is no such n-gram."""
-        out = np.empty(len(hashes), np.int64)
-        for at in range(0, len(hashes), LOOKUP):
-            out[at : at + LOOKUP] = self._find(hashes[at : at + LOOKUP])
+        return self.look(hashes)[0]
+
+    def look(self, keys: np.ndarray, stats=lambda ranks: (), by_hash: bool = True) -> list[np.ndarray]:
+        """Ranks of hashes (or the ranks themselves), and what ``stats`` gives for the distinct ones, LOOKUP keys at once."""
+        out = None
+        for at in range(0, max(len(keys), 1), LOOKUP):
+            distinct, back = np.unique(keys[at : at + LOOKUP], return_inverse=True)
+            ranks = self._ranks(distinct) if by_hash else distinct
+            columns = (ranks, *stats(ranks))
+            out = out or [np.empty(len(keys), c.dtype) for c in columns]
+            for o, c in zip(out, columns):
+                o[at : at + len(back)] = c[back]
         return out
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(hashes, return_inverse=True)
+    def _ranks(self, distinct: np.ndarray) -> np.ndarray:
+        """Ranks of sorted hashes; those that are found rise."""
         out = np.full(len(distinct), -1, np.int64)
         edges = np.searchsorted(by_range(distinct, self.n), np.arange(self.n + 1))
         for s in np.flatnonzero((np.diff(edges) > 0) & (self.sizes > 0)).tolist():
             q = distinct[edges[s] : edges[s + 1]]
             at = self._words(s, q) if self.k == 1 else self._grams(s, q)
             out[edges[s] : edges[s + 1]] = np.where(at >= 0, at + self.bases[s], -1)
-        return out[back]
+        return out
 
     def _words(self, s: int, q: np.ndarray) -> np.ndarray:
         keys = self.array("keys", s, "<u8")
@@ -277,14 +286,14 @@ class Level:
         return np.where((lo < end) & (keys[np.minimum(lo, last)] == want), lo, -1)
 
     def values(self, name: str, ranks: np.ndarray, width: int = 1) -> np.ndarray:
-        """Counts by rank, ``width`` of them each; 0 for -1."""
-        distinct, back = np.unique(ranks, return_inverse=True)
-        out = np.zeros((len(distinct), width), np.int64)
-        edges = np.searchsorted(distinct, self.bases)
+        """Counts by rank, ``width`` of them each; 0 for -1.  Ranks rise, but for those."""
+        out, on = np.zeros((len(ranks), width), np.int64), np.flatnonzero(ranks >= 0)
+        edges = np.searchsorted(ranks[on], self.bases)
         for s in np.flatnonzero(np.diff(edges) > 0).tolist():
-            at = (distinct[edges[s] : edges[s + 1]] - self.bases[s])[:, None] * width + np.arange(width)
-            out[edges[s] : edges[s + 1]] = self.small(name, s, at.reshape(-1)).reshape(-1, width)
-        return out[back]
+            own = on[edges[s] : edges[s + 1]]
+            at = (ranks[own] - self.bases[s])[:, None] * width + np.arange(width)
+            out[own] = self.small(name, s, at.reshape(-1)).reshape(-1, width)
+        return out
 
     def owner(self, ranks: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bases, ranks, "right") - 1
@@ -330,23 +339,29 @@ class Model:
         p = np.full(len(first), 1.0 / (self.v + 1))
         if not self.tokens:
             return np.log10(p)
-        ranks = self.ranks(first, chunk, self.order)
-        for begin in range(0, len(first), LOOKUP):
-            self._blend(p, ranks, chunk.offset, begin, min(begin + LOOKUP, len(first)))
+        rank, less, total, gap = self.levels[0].look(first, lambda r: self._stats(1, r), by_hash=False)
+        p = less / self.kinds + self.gap * p
+        for k in range(2, self.order + 1):
+            i = chunk.ends(k)
+            known = i[(rank[i - 1] >= 0) & (rank[i] >= 0)]
+            found = self.levels[k - 1].look(hash_of(rank[known - 1], rank[known]), lambda r, k=k: self._stats(k, r))
+            less = np.zeros(len(first))
+            less[known] = found[1]
+            on = i[total[i - 1] > 0]
+            p[on] = (less[on] + gap[on - 1] * p[on]) / total[on - 1]
+            if k < self.order:
+                rank, total, gap = np.full(len(first), -1, np.int64), np.zeros(len(first)), np.zeros(len(first))
+                rank[known], total[known], gap[known] = found[0], *found[2:]
         return np.log10(p, out=p)
 
-    def _blend(self, p: np.ndarray, ranks: list[np.ndarray], offset: np.ndarray, begin: int, end: int) -> None:
-        """Makes the uniform p of places begin to end that of the highest order, order by order."""
-        for k, r in enumerate(ranks, 1):
-            i = begin + np.flatnonzero(offset[begin:end] >= k - 1)
-            c, d = self.levels[k - 1].values("c", r[i])[:, 0], self.discounts[k]
-            less = c - d[np.minimum(c, 3)]
-            if k == 1:
-                p[i] = less / self.kinds + self.gap * p[i]
-                continue
-            f = self.levels[k - 2].values("f", ranks[k - 2][i - 1], 4)
-            on = f[:, 0] > 0
-            p[i[on]] = (less[on] + f[on, 1:] @ d[1:] * p[i[on]]) / f[on, 0]
+    def _stats(self, k: int, ranks: np.ndarray) -> tuple:
+        """By rank: the count less its discount, and, below the highest order, the sum of what follows and the discounts of that."""
+        c, d = self.levels[k - 1].values("c", ranks)[:, 0], self.discounts[k]
+        less = c - d[np.minimum(c, 3)]
+        if k == self.order:
+            return (less,)
+        f = self.levels[k - 1].values("f", ranks, 4)
+        return less, f[:, 0].astype(np.float64), f[:, 1:] @ self.discounts[k + 1][1:]
 
 
 # Chunks of tokens ---------------------------------------------------------------------------------
@@ -598,8 +613,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         norm = np.log10(model.tokens + model.v + 1)
         for part, chunk, _ in chunk_rows(batches):
-            first = model.levels[0].find(chunk.words)
-            seen = model.levels[0].values("n", first)[:, 0]
+            first, seen = model.levels[0].look(chunk.words, lambda r: (model.levels[0].values("n", r)[:, 0],))
             first, seen, own = first[chunk.codes], seen[chunk.codes], chunk.own
             at = np.cumsum(chunk.sizes) - chunk.sizes
             sums = lambda x, at=at, own=own: np.add.reduceat(np.where(own, x, 0), at)
