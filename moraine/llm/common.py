@@ -75,13 +75,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` may be broadcast: its rows and the bytes of its strings have been found to be bounded."""
+    width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0))
+    rows, size = df.select(width.cast("long").alias("w")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join; ``small`` is broadcast only once its rows and the bytes of its strings have been found to be bounded."""
-    width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0))
-    rows, size = small.select(width.cast("long").alias("w")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
-    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
+    """Join; ``small`` is broadcast if ``is_small`` finds that it may be."""
+    return df.join(F.broadcast(small) if is_small(small) else small, on, how)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_small, materialize, word_count
+from .common import checkpoint, is_small, join_small, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,25 +32,39 @@ ITERATIONS = 60
 RELATIVE, ABSOLUTE = 1e-7, 1e-3
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` and, as a further column for each of ``sums``, its sum over the rows before in ``order`` (a total one).
+
+    Rows are parted into ranges of the order; a range adds up its own rows, and
+    starts from the sums of the ranges before, of which there is a row each.
+    """
+    ranged = checkpoint(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    by_range = ranged.groupBy("part").agg(*[F.sum(c).alias(f"{name}_in") for name, c in sums.items()])
+    lower = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_range.select("part", *[F.coalesce(F.sum(f"{name}_in").over(lower), F.lit(0)).alias(f"{name}_at") for name in sums])
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumns({name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sums.items()})
+    return within.join(F.broadcast(starts), "part").select(*rows.columns, *[(F.col(name) + F.col(f"{name}_at")).alias(name) for name in sums])
+
+
 def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, n, target.  by_source has source, source_size, n: one row per source.
 
     What sources can't take (above ``most`` times their size) is dealt to the
     others by weight again: water-filling, solved by sorting the sources by
-    the level at which each is full.
+    the level at which each is full.  Sums are of whole numbers, so their order
+    doesn't matter.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = F.col("source").asc_nulls_last()
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    w = by_source.withColumn("weight", F.element_at(kinds, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    w = running(by_source, [by_name], place=F.lit(1)).withColumn("weight", F.element_at(kinds, (F.col("place") % len(weights) + 1).cast("int")))
     w = w.withColumn("cap", most * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    every = Window.partitionBy(F.lit(1))
-    fills = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("total", share * F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
-    w = w.withColumn("rest", F.col("total") - F.coalesce(F.sum("cap").over(fills), F.lit(0.0)))
-    w = w.withColumn("rest_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(fills), F.lit(0.0)))
+    w = running(w, [F.col("full_at").asc(), by_name], caps=F.col("cap"), weights=F.col("weight"))
+    size, weight = w.agg(F.sum("source_size"), F.sum("weight")).first()
     # the level is that of the first source, by full_at, which it doesn't fill
-    level = F.min(F.when(F.col("rest") / F.col("rest_weight") <= F.col("full_at"), F.struct("full_at", (F.col("rest") / F.col("rest_weight")).alias("level")))).over(every)["level"]
-    target = F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap")))
+    here = (share * F.lit(float(size or 0)) - F.col("caps")) / (F.lit(float(weight or 0)) - F.col("weights"))
+    level = w.filter(here <= F.col("full_at")).agg(F.min(F.struct("full_at", here.alias("level")))).first()[0]
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level["level"])) if level else F.col("cap")
     return w.select("source", "source_size", "n", target.alias("target"))
 
 
@@ -71,9 +85,10 @@ def solve(counts: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         F.when(full, F.lit(1e4)).when(F.col("target") <= 0, F.lit(-1e4)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), (full | (F.col("target") <= 0)).alias("done"),
     )
     state = checkpoint(state)
+    send = F.broadcast if is_small(state) else lambda df: df  # the state has the same sources in each round
     for _ in range(ITERATIONS):
         live = state.filter(~F.col("done"))
-        h = join_small(counts, live.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")), "inner")
+        h = counts.join(send(live.select(F.col("source").alias("s"), "lam", "mean")), F.col("source").eqNullSafe(F.col("s")))
         r = tilt(F.col("lam"), F.col("size"), F.col("mean"), most)
         words = F.col("n") * F.col("size") * r
         sums = h.groupBy("s").agg(F.sum(words).alias("got"), F.sum(F.when(r < most, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
