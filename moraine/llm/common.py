@@ -129,6 +129,13 @@ def put_bytes(uri: str, data) -> None:
     fs.move(temp, path)
 
 
+def get_bytes(uri: str) -> bytes:
+    """A file of put_bytes."""
+    fs, path = _fs(uri)
+    with fs.open_input_stream(path) as src:
+        return src.read()
+
+
 #: Copies of remote arrays that this process maps, all of one folder: tasks of a worker share them.
 _COPIES: dict[str, np.ndarray] = {}
 

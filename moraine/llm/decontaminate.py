@@ -23,13 +23,15 @@ whole, in a segment of their own if need be; further columns pass through
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_hash, texts_of
+from .common import get_bytes, materialize, new_dir, put_bytes, text_hash, texts_of
 
 WINDOW = 10
 SLOP = 2
@@ -174,37 +176,53 @@ MATCHES = "segment string, ord int, items array<string>, spans array<struct<star
 
 
 def match(index: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = SLOP, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each block of items and document with a match: items and merged word spans of exact matches, and the number of proximity matches that aren't exact."""
-    spark, out = index.sparkSession, None
+    """A row for each block of items and document with a match: items and merged word spans of exact matches, and the number of proximity matches that aren't exact.
+
+    The blocks' phrases are files in the shared folder.  The index is read once: a
+    task has one block at a time in memory and goes through them for each batch of segments.
+    """
+    spark, folder, paths = index.sparkSession, new_dir(index.sparkSession, "phrases"), []
     for block in item_blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast(Phrases(block, width))
+        paths.append(f"{folder}/{len(paths)}")
+        put_bytes(paths[-1], pickle.dumps(Phrases(block, width)))
+    if not paths:
+        return spark.createDataFrame([], MATCHES)
 
-        def run(batches, sent=sent):
-            phrases = sent.value
-            for batch in batches:
+    def run(batches):
+        path, phrases = None, None
+        for batch in batches:
+            for p in paths:
+                if p != path:
+                    path, phrases = p, None  # the last block goes before the next is read
+                    phrases = pickle.loads(get_bytes(p))
                 for r in range(batch.num_rows):
-                    get = lambda name, r=r: batch.column(name)[r]
-                    raw = lambda name, dtype: np.frombuffer(get(name).as_buffer(), dtype)
-                    segment = Segment(raw("terms", np.uint64), raw("starts", np.uint32), raw("places", np.uint32))
-                    bases = get("bases").values.to_numpy()
-                    rows: dict[int, list] = {}
-                    for k, starts, near in phrases.match(segment, slop):
-                        size = int((phrases.windows[k] >= 0).sum())
-                        docs = np.searchsorted(bases, starts, "right") - 1
-                        for d, s in zip(docs.tolist(), (starts - bases[docs]).tolist()):
-                            row = rows.setdefault(d, [set(), [], 0])
-                            row[0].update(phrases.owners[k])
-                            row[1].append((s, s + size))
-                        for d in (np.searchsorted(bases, near, "right") - 1).tolist():
-                            rows.setdefault(d, [set(), [], 0])[2] += 1
-                    seg = get("segment").as_py()
-                    out = [{"segment": seg, "ord": d, "items": sorted(i), "spans": [{"start": a, "end": b} for a, b in merged(s)], "n_near": n} for d, (i, s, n) in rows.items()]
-                    schema = pa.schema([("segment", pa.string()), ("ord", pa.int32()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_near", pa.int64())])
-                    yield pa.RecordBatch.from_pylist(out, schema)
-
-        found = index.select("segment", "bases", "terms", "starts", "places").mapInArrow(run, MATCHES)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], MATCHES)
+                    yield _matches(batch, r, phrases, slop)
+
+    return index.select("segment", "bases", "terms", "starts", "places").mapInArrow(run, MATCHES)
+
+
+MATCH_SCHEMA = pa.schema([("segment", pa.string()), ("ord", pa.int32()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_near", pa.int64())])
+
+
+def _matches(batch: pa.RecordBatch, r: int, phrases: Phrases, slop: int) -> pa.RecordBatch:
+    """MATCHES of the segment in row r."""
+    get = lambda name: batch.column(name)[r]
+    raw = lambda name, dtype: np.frombuffer(get(name).as_buffer(), dtype)
+    segment = Segment(raw("terms", np.uint64), raw("starts", np.uint32), raw("places", np.uint32))
+    bases = get("bases").values.to_numpy()
+    rows: dict[int, list] = {}
+    for k, starts, near in phrases.match(segment, slop):
+        size = int((phrases.windows[k] >= 0).sum())
+        docs = np.searchsorted(bases, starts, "right") - 1
+        for d, s in zip(docs.tolist(), (starts - bases[docs]).tolist()):
+            row = rows.setdefault(d, [set(), [], 0])
+            row[0].update(phrases.owners[k])
+            row[1].append((s, s + size))
+        for d in (np.searchsorted(bases, near, "right") - 1).tolist():
+            rows.setdefault(d, [set(), [], 0])[2] += 1
+    seg = get("segment").as_py()
+    out = [{"segment": seg, "ord": d, "items": sorted(i), "spans": [{"start": a, "end": b} for a, b in merged(s)], "n_near": n} for d, (i, s, n) in rows.items()]
+    return pa.RecordBatch.from_pylist(out, MATCH_SCHEMA)
 
 
 def merged(spans) -> list[tuple[int, int]]:
