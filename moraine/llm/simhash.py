@@ -16,6 +16,12 @@ to a member near the point.  This leaves out no link's connection.
 Components come from star contraction.  Neither fingerprints nor links nor
 components are collected.
 
+For similarities that 3 bits don't reach, as in ``similar``, a text has several
+fingerprints over its set of shingles (``set_fingerprints``), each filed under
+three segments of 21 or 22 bits; ``near_pairs`` probes balls of radius 1 and
+verifies whole distances in the same way.  Texts that probe a segment value that
+CROWD or more share are left to the caller, which compares them exactly.
+
 Defined results: a null or empty text, or one without words, has fingerprint
 zero, which links like any other; repeated rows share a component; a null
 doc_id takes part but never names a component; an empty table gives an empty
@@ -25,13 +31,15 @@ result; texts of any length are hashed whole; further columns pass through
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_hash, texts_of
+from .common import join_small, materialize, release, text_hash, texts_of
 from .components import components
 
 SHINGLE = 3
@@ -41,6 +49,17 @@ HEAVY = 1024
 MASK = 0xFFFFFFFF
 #: Hashes whose bits are counted at once, to bound memory.
 BITS_AT_ONCE = 65_536
+#: Fingerprints of a set, their segments (first bit, bits), and the bits by which a candidate pair may differ in the one that names it and in all.
+PRINTS = 6
+SEGMENTS = [(0, 21), (21, 21), (42, 22)]
+APART, APART_IN_ALL = 20, 90
+#: Texts from which on a segment value is crowded.
+CROWD = 32
+#: Hashes of a set whose bits are counted at once; sums of 255 fit a byte.
+SUM = 255
+SET_AT_ONCE = 32 * SUM
+
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, PRINTS, np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -73,6 +92,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
+def set_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The PRINTS fingerprints of a set of 64-bit hashes, sorted: of each a mix of the hashes of its own.
+
+    Of an even number the least counts twice, so that no bit is a tie, which
+    would make fingerprints of small sets alike.
+    """
+    if len(hashes) % 2 == 0:
+        hashes = np.append(hashes, hashes[0])
+    counts = np.zeros((PRINTS, 64), np.int64)
+    for at in range(0, len(hashes), SET_AT_ONCE):
+        x = (hashes[at : at + SET_AT_ONCE] ^ _SALTS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        full = np.zeros((PRINTS, -(-x.shape[1] // SUM) * SUM), "<u8")
+        full[:, : x.shape[1]] = x ^ (x >> np.uint64(29))
+        bits = np.unpackbits(full.view(np.uint8).reshape(PRINTS, -1, SUM, 8), axis=3, bitorder="little")
+        counts += bits.sum(2, dtype=np.uint8).sum(1, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def _flip(c: Column, bit: Column) -> Column:
     return c.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")))
 
@@ -139,6 +177,58 @@ def midpoint_links(table: DataFrame, probe: DataFrame, distance: int) -> DataFra
     return tied.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= distance).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def _under(fp: Column, n: int, ball: bool) -> Column:
+    """The keys of fingerprint number n: its segments or, as probes, those and the values with one more bit set."""
+    keys = []
+    for j, (at, width) in enumerate(SEGMENTS):
+        seg, number = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)), F.lit((n * len(SEGMENTS) + j) << 32)
+        unset = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: ~_is_set(seg, b))  # noqa: B023
+        more = F.transform(unset, lambda b: _flip(seg, b) + number)  # noqa: B023
+        keys.append(F.concat(F.array(seg + number), more) if ball else F.array(seg + number))
+    return F.concat(*keys)
+
+
+def _filed_sets(prints: DataFrame, n: int, ball: bool) -> DataFrame:
+    """(key, fp, *): the rows of prints (fps, further columns) by the keys of fingerprint number n."""
+    fp = F.col("fps")[n]
+    rest = [c for c in prints.columns if c != "fps"]
+    return prints.select(F.explode(_under(fp, n, ball)).alias("key"), fp.alias("fp"), *rest)
+
+
+def crowds(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(key, t, n): the rows of prints (t, fps) under segment values that n of them, crowd or more, share."""
+    own = reduce(DataFrame.union, [_filed_sets(prints, n, False).select("key", "t") for n in range(PRINTS)])
+    keys = materialize(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowd), "simhash-crowded-keys")
+    return materialize(join_small(own, keys, "key", "inner"), "simhash-crowds")
+
+
+def probing(prints: DataFrame, filed: DataFrame) -> DataFrame:
+    """(t): the rows of prints that probe a crowded key; filed: their ``crowds``."""
+    keys = materialize(filed.select("key").distinct(), "simhash-crowded-keys")
+    probes = [join_small(_filed_sets(prints, n, True).select("key", "t"), keys, "key", "left_semi").select("t").distinct() for n in range(PRINTS)]
+    return materialize(reduce(DataFrame.union, probes).distinct(), "simhash-probing")
+
+
+def near_pairs(prints: DataFrame, crowded: bool = True) -> DataFrame:
+    """(a, b): pairs of prints (t, fps, crowded) that in some fingerprint differ in at most 1 bit of a segment and in APART bits, and in APART_IN_ALL in all.
+
+    All such pairs but those of which both are crowded; ``crowded``: whether any row is.
+    """
+    found = []
+    for n in range(PRINTS):
+        probe, table = _filed_sets(prints, n, True), _filed_sets(prints, n, False).select("key", F.col("fp").alias("fp2"), F.col("t").alias("t2"), F.col("crowded").alias("crowded2"))
+        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= APART) & (F.col("t") != F.col("t2"))
+        pairs = probe.join(table.filter("not crowded2"), "key").filter(near)
+        if crowded:
+            pairs = pairs.union(probe.filter("not crowded").join(table.filter("crowded2"), "key").filter(near))
+        found.append(materialize(pairs.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct(), "simhash-pairs"))
+        release(prints.sparkSession)
+    pairs = reduce(DataFrame.union, found).distinct()
+    x, y = (prints.select(F.col("t").alias(t), F.col("fps").alias(f"fps_{t}")) for t in "ab")
+    apart = sum((F.bit_count(F.col("fps_a")[n].bitwiseXOR(F.col("fps_b")[n])) for n in range(PRINTS)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").filter(apart <= APART_IN_ALL).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, text_hash, fp, component, component_id): component_id is the least doc_id of the component."""
     prints = materialize(fingerprints(docs), "simhash-prints")
