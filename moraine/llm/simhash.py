@@ -19,8 +19,11 @@ components are collected.
 For similarities that 3 bits don't reach, as in ``similar``, a text has several
 fingerprints over its set of shingles (``set_fingerprints``), each filed under
 three segments of 21 or 22 bits; ``near_pairs`` probes balls of radius 1 and
-verifies whole distances in the same way.  Texts that probe a segment value that
-CROWD or more share are left to the caller, which compares them exactly.
+verifies whole distances in the same way.  The texts of a segment's first bits
+meet in one group, so that only flips of these bits are rows, and a pair is a
+row once its distance in all fingerprints is verified.  Texts that probe a
+segment value that CROWD or more share are left to the caller, which compares
+them exactly.
 
 Defined results: a null or empty text, or one without words, has fingerprint
 zero, which links like any other; repeated rows share a component; a null
@@ -31,16 +34,15 @@ result; texts of any length are hashed whole; further columns pass through
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, release, text_hash, texts_of
+from .common import is_small, join_small, materialize, text_hash, texts_of
 from .components import components
+from .urls import maybe_in
 
 SHINGLE = 3
 SEED = 42
@@ -55,6 +57,9 @@ SEGMENTS = [(0, 21), (21, 21), (42, 22)]
 APART, APART_IN_ALL = 20, 90
 #: Texts from which on a segment value is crowded.
 CROWD = 32
+#: First bits of a segment that name its group, rows beyond which there are more of them, and pairs of a group compared at once.
+FIRST, ROWS_BY_FIRST = 4, 1 << 20
+PAIRS_AT_ONCE = 1 << 20
 #: Hashes of a set whose bits are counted at once; sums of 255 fit a byte.
 SUM = 255
 SET_AT_ONCE = 32 * SUM
@@ -188,45 +193,108 @@ def _under(fp: Column, n: int, ball: bool) -> Column:
     return F.concat(*keys)
 
 
-def _filed_sets(prints: DataFrame, n: int, ball: bool) -> DataFrame:
-    """(key, fp, *): the rows of prints (fps, further columns) by the keys of fingerprint number n."""
-    fp = F.col("fps")[n]
-    rest = [c for c in prints.columns if c != "fps"]
-    return prints.select(F.explode(_under(fp, n, ball)).alias("key"), fp.alias("fp"), *rest)
+def _keyed(prints: DataFrame, ball: bool) -> DataFrame:
+    """(key, t): the rows of prints (t, fps) by the keys of all their fingerprints."""
+    return prints.select(F.explode(F.concat(*[_under(F.col("fps")[n], n, ball) for n in range(PRINTS)])).alias("key"), "t")
 
 
 def crowds(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(key, t, n): the rows of prints (t, fps) under segment values that n of them, crowd or more, share."""
-    own = reduce(DataFrame.union, [_filed_sets(prints, n, False).select("key", "t") for n in range(PRINTS)])
+    own = _keyed(prints, False)
     keys = materialize(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowd), "simhash-crowded-keys")
     return materialize(join_small(own, keys, "key", "inner"), "simhash-crowds")
 
 
+def print_columns() -> list[Column]:
+    """The fingerprints as columns f0, f1 and so on."""
+    return [F.col("fps")[n].alias(f"f{n}") for n in range(PRINTS)]
+
+
+def prints_in(table: pa.Table) -> np.ndarray:
+    """Those columns, a row for each fingerprint."""
+    return np.stack([table.column(f"f{n}").to_numpy() for n in range(PRINTS)]).view(np.uint64)
+
+
 def probing(prints: DataFrame, filed: DataFrame) -> DataFrame:
-    """(t): the rows of prints that probe a crowded key; filed: their ``crowds``."""
-    keys = materialize(filed.select("key").distinct(), "simhash-crowded-keys")
-    probes = [join_small(_filed_sets(prints, n, True).select("key", "t"), keys, "key", "left_semi").select("t").distinct() for n in range(PRINTS)]
-    return materialize(reduce(DataFrame.union, probes).distinct(), "simhash-probing")
+    """(key, t): the rows of prints that probe a crowded key, and so all that are under one; filed: their ``crowds``."""
+    keys, probes = materialize(filed.select("key").distinct(), "simhash-crowded-keys"), _keyed(prints, True)
+    if not is_small(keys):
+        probes = maybe_in(probes, "key", keys, keys.count())
+    return materialize(join_small(probes, keys, "key", "left_semi"), "simhash-probing")
 
 
-def near_pairs(prints: DataFrame, crowded: bool = True) -> DataFrame:
-    """(a, b): pairs of prints (t, fps, crowded) that in some fingerprint differ in at most 1 bit of a segment and in APART bits, and in APART_IN_ALL in all.
+def _met(f: np.ndarray, a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """Whether rows a and b of the fingerprints f are near, and segment ``number`` is the first that has them meet."""
+    near, met = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+    for n in range(PRINTS):
+        apart = f[n][a] ^ f[n][b]
+        bits = np.bitwise_count(apart)
+        near += bits
+        for j, (at, width) in enumerate(SEGMENTS):
+            if n * len(SEGMENTS) + j < number:
+                met |= (bits <= APART) & (np.bitwise_count(apart >> np.uint64(at) & np.uint64((1 << width) - 1)) <= 1)
+    return (near <= APART_IN_ALL) & ~met
+
 
-    All such pairs but those of which both are crowded; ``crowded``: whether any row is.
+def near_pairs(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): pairs of prints (t, fps, c, crowded) that in some fingerprint differ in at most 1 bit of a segment and in APART bits, and in APART_IN_ALL in all.
+
+    All such pairs, each once, but those of one c and those of which both are
+    crowded; the rows that ``probing`` has under a segment value that ``crowd``
+    or more share have to be of one c or all crowded.
     """
-    found = []
-    for n in range(PRINTS):
-        probe, table = _filed_sets(prints, n, True), _filed_sets(prints, n, False).select("key", F.col("fp").alias("fp2"), F.col("t").alias("t2"), F.col("crowded").alias("crowded2"))
-        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= APART) & (F.col("t") != F.col("t2"))
-        pairs = probe.join(table.filter("not crowded2"), "key").filter(near)
-        if crowded:
-            pairs = pairs.union(probe.filter("not crowded").join(table.filter("crowded2"), "key").filter(near))
-        found.append(materialize(pairs.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct(), "simhash-pairs"))
-        release(prints.sparkSession)
-    pairs = reduce(DataFrame.union, found).distinct()
-    x, y = (prints.select(F.col("t").alias(t), F.col("fps").alias(f"fps_{t}")) for t in "ab")
-    apart = sum((F.bit_count(F.col("fps_a")[n].bitwiseXOR(F.col("fps_b")[n])) for n in range(PRINTS)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").filter(apart <= APART_IN_ALL).select("a", "b")
+    first = max(FIRST, (prints.count() // ROWS_BY_FIRST).bit_length())
+
+    def groups(number: int) -> Column:
+        """The group of a row by segment ``number``, and those of its flips, which have a 0 as last bit."""
+        n, (at, width) = number // len(SEGMENTS), SEGMENTS[number % len(SEGMENTS)]
+        head = F.shiftrightunsigned(F.col("fps")[n], at + width - first).bitwiseAND(F.lit((1 << first) - 1)).bitwiseOR(F.lit(number << first).cast("long"))
+        unset = F.filter(F.sequence(F.lit(0), F.lit(first - 1)), lambda b: ~_is_set(head, b))
+        return F.concat(F.array(head * 2 + 1), F.transform(unset, lambda b: _flip(head, b) * 2))
+
+    def run(key, table):
+        number = key[0].as_py() >> first
+        n, (at, width) = number // len(SEGMENTS), SEGMENTS[number % len(SEGMENTS)]
+        rest = width - first
+        t, c, own, crowded = (table.column(x).to_numpy() for x in ("t", "c", "own", "crowded"))
+        f = prints_in(table)
+        seg = (f[n] >> np.uint64(at) & np.uint64((1 << rest) - 1)).astype(np.int64)
+        filed = np.flatnonzero(own)
+        filed = filed[np.argsort(seg[filed], kind="stable")]
+        count = np.bincount(seg[filed], minlength=1 << rest)
+        begin = np.cumsum(count) - count
+        # of a crowded value the rows that probe it, and so all its own, are the caller's
+        count[count >= crowd] = 0
+        found = []
+
+        def probe(rows: np.ndarray, want: np.ndarray, once: bool) -> None:
+            many = count[want]
+            rows, want, many = rows[many > 0], want[many > 0], many[many > 0]
+            ends = np.cumsum(many)
+            cuts = np.searchsorted(ends, np.arange(PAIRS_AT_ONCE, ends[-1] if len(ends) else 0, PAIRS_AT_ONCE))
+            for x, y, k in zip(*(np.split(v, cuts) for v in (rows, want, many))):
+                a = np.repeat(x, k)
+                b = filed[np.repeat(begin[y] - (np.cumsum(k) - k), k) + np.arange(len(a))]
+                keep = np.bitwise_count(f[n][a] ^ f[n][b]) <= APART
+                keep &= (t[a] < t[b]) if once else (t[a] != t[b])
+                a, b = a[keep], b[keep]
+                keep = (c[a] != c[b]) & ~(crowded[a] & crowded[b])
+                a, b = a[keep], b[keep]
+                keep = _met(f, a, b, number)
+                found.append(np.stack([t[a[keep]], t[b[keep]]]))
+
+        probe(filed, seg[filed], True)
+        flipped = np.flatnonzero(~own)
+        probe(flipped, seg[flipped], False)
+        for bit in range(rest):
+            rows = filed[seg[filed] >> bit & 1 == 0]
+            probe(rows, seg[rows] | 1 << bit, False)
+        pairs = np.sort(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=0)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    x = prints.select("t", "c", "crowded", *print_columns(), F.explode(F.concat(*[groups(k) for k in range(PRINTS * len(SEGMENTS))])).alias("x"))
+    x = x.select(F.shiftright("x", 1).alias("g"), (F.col("x") % 2 == 1).alias("own"), "t", "c", "crowded", *[f"f{n}" for n in range(PRINTS)])
+    return x.groupBy("g").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY) -> DataFrame:

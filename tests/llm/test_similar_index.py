@@ -69,3 +69,41 @@ def test_set_fingerprints_bit_by_bit(n):
                 ones[b] += x >> b & 1
         want.append(sum(1 << b for b in range(64) if 2 * ones[b] > n + len(least)))
     assert simhash.set_fingerprints(hashes).tolist() == want
+
+
+def test_pairs_of_the_index_are_verified_before_they_are_rows(spark):
+    """The pairs of the index by brute force, each once: nothing that is only near in a segment and one fingerprint, and none of one c or of two crowded rows."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (40, simhash.PRINTS), np.uint64)
+    fps = np.concatenate([base, base, base])
+    for row in fps[40:]:
+        for n in range(simhash.PRINTS):
+            for b in rng.choice(64, rng.integers(0, 14), replace=False):
+                row[n] ^= np.uint64(1) << np.uint64(b)
+    fps = np.concatenate([fps, rng.integers(0, 2**64, (200, simhash.PRINTS), np.uint64)])
+    fps[120:, 0] = fps[0, 0]  # alike in one fingerprint alone
+    rows = [(i, [int(x) for x in f.view(np.int64)], i if i % 5 else 0, i % 3 == 0) for i, f in enumerate(fps)]
+    apart = lambda i, j: np.bitwise_count(fps[i] ^ fps[j])
+    want, shares = set(), 0
+    for i in range(len(fps)):
+        for j in range(i):
+            bits, x = apart(i, j), fps[i] ^ fps[j]
+            met = any(bits[n] <= simhash.APART and any(np.bitwise_count(x[n] >> np.uint64(at) & np.uint64((1 << w) - 1)) <= 1 for at, w in simhash.SEGMENTS) for n in range(simhash.PRINTS))
+            shares += met
+            if met and bits.sum() <= simhash.APART_IN_ALL and rows[i][2] != rows[j][2] and not (rows[i][3] and rows[j][3]):
+                want.add((j, i))
+    prints = spark.createDataFrame(rows, "t long, fps array<long>, c long, crowded boolean")
+    got = [(r.a, r.b) for r in simhash.near_pairs(prints, 1000).collect()]
+    assert 20 < len(want) < shares / 20 and sorted(got) == sorted(want)
+
+
+def test_members_of_a_crowd_have_a_pair_each(spark):
+    """Those apart from most of the crowd, with the nearest of another component; not all pairs."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**64, (90, simhash.PRINTS), np.uint64)
+    c = [0 if i < 50 else i // 10 for i in range(90)]
+    prints = spark.createDataFrame([(i, [int(x) for x in f.view(np.int64)]) for i, f in enumerate(fps)], "t long, fps array<long>")
+    filed = spark.createDataFrame([(7, i, 90, c[i]) for i in range(90)], "key long, t long, n long, c long")
+    got = {(r.a, r.b) for r in similar.nearest_pairs(filed, prints).collect()}
+    near = lambda i: min((j for j in range(90) if c[j] != c[i]), key=lambda j: (int(np.bitwise_count(fps[i] ^ fps[j]).sum()), j))
+    assert got == {(min(i, near(i)), max(i, near(i))) for i in range(50, 90)}
