@@ -14,16 +14,19 @@ from .ints import unsigned
 NAN, INF = float("nan"), float("inf")
 
 
+def _negative(x: Column) -> Column:
+    """Also of -0, which atan2 and comparisons take for 0."""
+    return (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
+
+
 def fdiv(a: Column, b: Column) -> Column:
-    """x/0 is an infinity, 0/0 NaN; the sign of a zero divisor counts."""
-    negative_zero = F.atan2(b, F.lit(-1.0)) < 0
-    inf = F.when((a > 0) != negative_zero, F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(b != 0, a / F.when(b != 0, b)).when((a == 0) | F.isnan(a), F.lit(NAN)).otherwise(inf)
+    """x/0 is an infinity, 0/0 NaN; the sign of a zero divisor counts; null if either is."""
+    inf = F.when((a > 0) != _negative(b), F.lit(INF)).otherwise(F.lit(-INF))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(b != 0, a / F.when(b != 0, b)).when((a == 0) | F.isnan(a), F.lit(NAN)).otherwise(inf)
 
 
 def fcopysign(x: Column, y: Column) -> Column:
-    negative = (y < 0) | ((y == 0) & (F.atan2(y, F.lit(-1.0)) < 0))
-    return F.when(negative, -F.abs(x)).otherwise(F.abs(x))
+    return F.when(_negative(y), -F.abs(x)).otherwise(F.abs(x))
 
 
 def fmin(a, b):
@@ -44,16 +47,21 @@ def fcmp(condition: str, a, b):
     return ~nan & {"eq": a == b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[condition]
 
 
+def _whole(x, rounded):
+    """rounded, a bigint, with the sign of x, as -0.5 goes up to -0; from 2^52 on x is whole, an infinity or NaN."""
+    return F.when(F.abs(x) < float(1 << 52), fcopysign(rounded.cast("double"), x)).otherwise(x)
+
+
 def ceil(x):
-    return F.ceil(x).cast("double")
+    return _whole(x, F.ceil(x))
 
 
 def floor(x):
-    return F.floor(x).cast("double")
+    return _whole(x, F.floor(x))
 
 
 def trunc(x):
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return _whole(x, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
 
 
 def nearest(x):
@@ -62,16 +70,16 @@ def nearest(x):
 
 
 def to_sint_sat(x: Column, bits: int) -> Column:
-    """Toward zero, saturating; NaN gives 0."""
+    """Toward zero, saturating; NaN gives 0, null null."""
     top, low = (1 << (bits - 1)) - 1, -(1 << (bits - 1))
     inside = F.when((x < float(top)) & (x > float(low)), x).otherwise(0.0)
-    return F.when(F.isnan(x), 0).when(x >= float(top), F.lit(top)).when(x <= float(low), F.lit(low)).otherwise(inside.cast("bigint")).cast("bigint")
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), 0).when(x >= float(top), F.lit(top)).when(x <= float(low), F.lit(low)).otherwise(inside.cast("bigint")).cast("bigint")
 
 
 def to_uint_sat(x: Column, bits: int) -> Column:
     top = (1 << bits) - 1
     inside = F.when((x < float(top)) & (x > 0), x).otherwise(0.0)
-    return F.when(F.isnan(x) | (x <= 0), F.lit("0").cast("decimal(20,0)")).when(x >= float(top), F.lit(str(top)).cast("decimal(20,0)")).otherwise(F.floor(inside).cast("decimal(20,0)"))
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x) | (x <= 0), F.lit("0").cast("decimal(20,0)")).when(x >= float(top), F.lit(str(top)).cast("decimal(20,0)")).otherwise(F.floor(inside).cast("decimal(20,0)"))
 
 
 def _fma(a: float, b: float, c: float) -> float:

@@ -183,9 +183,11 @@ cast(cast(x AS float) AS double) AS demoted FROM (SELECT l_orderkey, l_linenumbe
 def scalar_floats(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 10.25 - 250.5).alias("x"), (F.round(F.col("l_discount") * 100) - 5).alias("y"))
     x, y = F.col("x"), F.col("y")
+    # of a null the SQL has NaN over 0, and the upper bound, as least passes nulls over
+    over, bounded = F.when(x.isNull() & (y == 0), 0.0).otherwise(x), F.coalesce(x, F.lit(floats.INF))
     return li.select(
-        "l_orderkey", "l_linenumber", (x + y).alias("fadd"), (x - y).alias("fsub"), (x * y).alias("fmul"), floats.fdiv(x, y).alias("fdiv"), (-x).alias("fneg"), F.abs(x).alias("fabs"), F.sqrt(F.abs(x)).alias("root"), floats.ceil(x).alias("ceil"), floats.floor(x).alias("floor"),
-        floats.trunc(x).alias("trunc"), floats.nearest(x).alias("nearest"), floats.fmin(x, y).alias("fmin"), floats.fmax(x, y).alias("fmax"), floats.fcmp("lt", x, y).alias("lt"), floats.to_sint_sat(x, 8).alias("to_s8"), floats.to_uint_sat(x, 8).cast("bigint").alias("to_u8"), floats.fpromote(floats.fdemote(x)).alias("demoted"),
+        "l_orderkey", "l_linenumber", (x + y).alias("fadd"), (x - y).alias("fsub"), (x * y).alias("fmul"), floats.fdiv(over, y).alias("fdiv"), (-x).alias("fneg"), F.abs(x).alias("fabs"), F.sqrt(F.abs(x)).alias("root"), floats.ceil(x).alias("ceil"), floats.floor(x).alias("floor"),
+        floats.trunc(x).alias("trunc"), floats.nearest(x).alias("nearest"), floats.fmin(x, y).alias("fmin"), floats.fmax(x, y).alias("fmax"), floats.fcmp("lt", x, y).alias("lt"), floats.to_sint_sat(bounded, 8).alias("to_s8"), floats.to_uint_sat(bounded, 8).cast("bigint").alias("to_u8"), floats.fpromote(floats.fdemote(x)).alias("demoted"),
     )
 
 
