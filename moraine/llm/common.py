@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -63,6 +64,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def hand_back(spark: SparkSession) -> None:
+    """``release``, and executors hand back heap that they don't use.
+
+    An executor's heap else stays as large as it once was, and many steps one
+    after another take it to its limit, beside the Python workers and what
+    Java has outside of the heap.
+    """
+    release(spark)
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # there the driver is the executor
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives the loss of any executor."""
     path = new_dir(df.sparkSession, name)
